@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat, mixing, urlfilter
+from pagewright.llm import ann, chat, mixing, urlfilter, vecdedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP1_SQL = """
+WITH e AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score
+  FROM e q JOIN e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id AND len(e.v) = len(q.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = urlfilter.filter_urls(pages.select("page_id", "url"), URL_RULES, urlfilter.html_edges(pages))
@@ -102,5 +119,24 @@ SELECT doc_id, size, source_size, target,
 FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """
 
-QUERIES: dict[str, Query] = {"op4_url_filter": op4_url_filter, "op7_chat_format": op7_chat_format, "op9_mix_sources": op9_mix_sources}
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_mix_sources": OP9_SQL}
+def op10_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP10_SQL = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v,
+    coalesce(vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+  FROM embeddings
+), l AS (
+  SELECT a.r, a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.ok AND b.ok AND a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x
+), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.r = e.r) AS n_links, component_id, e.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e LEFT JOIN c ON e.vec_id = c.x
+"""
+
+QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op4_url_filter": op4_url_filter, "op7_chat_format": op7_chat_format, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
+ORACLES: dict[str, str] = {"op1_nearest": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_mix_sources": OP9_SQL, "op10_duplicate_vectors": OP10_SQL}

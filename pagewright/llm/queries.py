@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, chat, mixing, urlfilter, vecdedup
+from pagewright.llm import ann, chat, mixing, packing, urlfilter, vecdedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,17 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def word_bpe_stream() -> Callable[[list[str | None]], list[bytes]]:
+    """Made in each worker: ids of the public word BPE, closed by id 1."""
+    import public_tokenizers
+
+    return packing.word_stream(public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_stream, window=2048, open_windows=64)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = urlfilter.filter_urls(pages.select("page_id", "url"), URL_RULES, urlfilter.html_edges(pages))
@@ -138,5 +149,5 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.r = e.r) AS n_links, component_
 FROM e LEFT JOIN c ON e.vec_id = c.x
 """
 
-QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op4_url_filter": op4_url_filter, "op7_chat_format": op7_chat_format, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
+QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op2_pack": op2_pack, "op4_url_filter": op4_url_filter, "op7_chat_format": op7_chat_format, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
 ORACLES: dict[str, str] = {"op1_nearest": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_mix_sources": OP9_SQL, "op10_duplicate_vectors": OP10_SQL}

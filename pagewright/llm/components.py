@@ -50,9 +50,9 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and edges a-b, the smallest node of each node's component."""
-    root = np.arange(n)
+def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """For nodes 0..n-1 and edges a-b, the smallest node of each node's component; ``root``: of earlier edges."""
+    root = np.arange(n) if root is None else root
     while len(a):
         x, y = root[a], root[b]
         lo, hi = np.minimum(x, y), np.maximum(x, y)
@@ -60,6 +60,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not open_.any():
             break
         a, b, lo, hi = a[open_], b[open_], lo[open_], hi[open_]
+        root = root.copy()
         np.minimum.at(root, hi, lo)
         while True:
             up = root[root]

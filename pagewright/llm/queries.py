@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, chat, mixing, packing, simhash, urlfilter, vecdedup
+from pagewright.llm import ann, chat, mixing, packing, simhash, toxicity, urlfilter, vecdedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,13 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = toxicity.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.ToxicityModel.train(docs, labels.where(~held_out))
+    return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "flagged")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), schedule=((1.0, (3, 1, 2)),), share=1.5, repeats=2)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -154,5 +161,5 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.r = e.r) AS n_links, component_
 FROM e LEFT JOIN c ON e.vec_id = c.x
 """
 
-QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op2_pack": op2_pack, "op4_url_filter": op4_url_filter, "op5_simhash": op5_simhash, "op7_chat_format": op7_chat_format, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
+QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op2_pack": op2_pack, "op4_url_filter": op4_url_filter, "op5_simhash": op5_simhash, "op7_chat_format": op7_chat_format, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
 ORACLES: dict[str, str] = {"op1_nearest": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_mix_sources": OP9_SQL, "op10_duplicate_vectors": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, chat, mixing, packing, simhash, toxicity, urlfilter, vecdedup
+from pagewright.llm import ann, chat, mixing, packing, simhash, substring, toxicity, urlfilter, vecdedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "<|im_end|><|im_start|>assistant ok"
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
@@ -161,5 +165,5 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.r = e.r) AS n_links, component_
 FROM e LEFT JOIN c ON e.vec_id = c.x
 """
 
-QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op2_pack": op2_pack, "op4_url_filter": op4_url_filter, "op5_simhash": op5_simhash, "op7_chat_format": op7_chat_format, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
+QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op2_pack": op2_pack, "op4_url_filter": op4_url_filter, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_chat_format": op7_chat_format, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
 ORACLES: dict[str, str] = {"op1_nearest": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_mix_sources": OP9_SQL, "op10_duplicate_vectors": OP10_SQL}

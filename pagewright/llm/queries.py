@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, chat, mixing, packing, simhash, substring, toxicity, urlfilter, vecdedup
+from pagewright.llm import ann, chat, lm, mixing, packing, simhash, substring, toxicity, urlfilter, vecdedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_stream, window=2048, open_windows=64)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id"), 7) != 2, order=2)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = urlfilter.filter_urls(pages.select("page_id", "url"), URL_RULES, urlfilter.html_edges(pages))
@@ -165,5 +169,5 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.r = e.r) AS n_links, component_
 FROM e LEFT JOIN c ON e.vec_id = c.x
 """
 
-QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op2_pack": op2_pack, "op4_url_filter": op4_url_filter, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_chat_format": op7_chat_format, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
+QUERIES: dict[str, Query] = {"op1_nearest": op1_nearest, "op2_pack": op2_pack, "op3_lm_score": op3_lm_score, "op4_url_filter": op4_url_filter, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_chat_format": op7_chat_format, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_duplicate_vectors": op10_duplicate_vectors}
 ORACLES: dict[str, str] = {"op1_nearest": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_mix_sources": OP9_SQL, "op10_duplicate_vectors": OP10_SQL}

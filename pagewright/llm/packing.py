@@ -26,7 +26,7 @@ from pagewright.plans.staging import stage
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words and units whose ids a worker remembers between chunks, and the longest word that it takes apart.
-MEMO_WORDS, MEMO_LENGTH = 600_000, 64
+MEMO_WORDS, MEMO_LENGTH = 1_500_000, 64
 #: Documents encoded together.
 CHUNK = 64
 #: Pieces in one pandas batch of the output.
@@ -88,16 +88,22 @@ class WordIds:
         if len(self.known) + len(self.units) > MEMO_WORDS:
             self.known, self.units = {}, {}
         split = [words_of(text) for text in texts]
-        new = set().union(*split) - self.known.keys()
+        new = set().union(*split).difference(self.known)
         if new:
             self.learn(new)
         get = self.known.__getitem__
         return [b"".join([*map(get, words), end]) for words in split]
 
 
+#: One per tokenizer file and worker process, so that tasks of a worker share what it has learnt.
+LEARNT: dict[str, WordIds] = {}
+
+
 def word_stream(path: str, end_id: int) -> Callable[[list[str | None]], list[bytes]]:
     """Texts to ids closed by ``end_id``."""
-    ids = WordIds(path)
+    if path not in LEARNT:
+        LEARNT[path] = WordIds(path)
+    ids = LEARNT[path]
     return lambda texts: ids.encode_all(texts, end_id.to_bytes(4, "little"))
 
 

@@ -262,10 +262,12 @@ def strip_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     gone = gone.select(F.col("key").alias("repeat_key"), F.col("hash").alias("repeat_hash"), F.col("spans").alias("repeat_spans"))
     joined = keyed.join(gone, ["repeat_key", "repeat_hash"], "left").select(*docs.columns, "repeat_spans")
 
+    columns = docs.columns
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column("repeat_spans")
             texts = [t.as_py() if s is None else b" ".join(_kept(t.as_py(), [(x["s"], x["e"]) for x in s], window)[1]).decode("utf-8", "surrogatepass") for t, s in zip(batch.column("text"), spans.to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(n).type) if n == "text" else batch.column(n) for n in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(n).type) if n == "text" else batch.column(n) for n in columns], columns)
 
     return joined.mapInArrow(strip, docs.schema)

@@ -134,7 +134,7 @@ def trim_opening_shell(markdown: Column) -> Column:
         return F.aggregate(zipped, start, step, lambda s: s["at"])
 
     def trimmed(rows: Column) -> Column:
-        at = cut(rows, texts_after(rows))
+        at = let(texts_after(rows), lambda after: cut(rows, after))
         return let(at, lambda n: F.when(n == 0, F.lit(None)).otherwise(F.regexp_replace(_joined(F.slice(rows, n + 1, F.size(rows))), r"\A\n+", "")))
 
     return F.coalesce(let(annotated(markdown), trimmed), markdown)

@@ -7,13 +7,13 @@ import struct
 
 import numpy as np
 
-#: Log10 probabilities are stored in 16 bits, rounded down, over this span.
+#: Log10 probabilities are stored in 16 bits, rounded down, over this span; code 0 stands for none.
 SPAN = 16.0
 LEVELS = (1 << 16) - 1
 
 
 def quantise(log10p: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor((log10p + SPAN) * (LEVELS / SPAN)), 0, LEVELS).astype(np.uint16)
+    return np.clip(np.floor((log10p + SPAN) * (LEVELS / SPAN)), 1, LEVELS).astype(np.uint16)
 
 
 def dequantise(codes: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ that training never saw passes on P(w|h'). Codes round probabilities down by les
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +27,20 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.eliasfano import NgramLevel, dequantise
 from pagewright.llm.words import words_of
-from pagewright.plans.staging import stage
+from pagewright.plans.staging import shared_dir, stage
 
 DISCOUNT = 0.75
 #: Tokens in a block, in a shard on average, and count of a context beyond which its words go to several shards.
-BLOCK, SHARD, HOT = 1 << 20, 1 << 22, 1 << 19
+BLOCK, SHARD, HOT = 1 << 21, 1 << 21, 1 << 19
 END = b""  # closes a text and stands before its first word; no word is empty
 ANSWER = "block long, level int, shard long, payload binary, tokens long, types long"
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed payload."""
+    """Arrays as one compressed payload; bytes of equal rank lie together, as the high ones hardly vary."""
     head = np.array([len(arrays), *[v for a in arrays for v in (np.dtype(a.dtype).num, len(a))]], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), np.dtype(a.dtype).itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(planes))
 
 
 KINDS = {np.dtype(k).num: np.dtype(k) for k in (np.uint8, np.uint16, np.uint32, np.int32, np.int64, np.uint64)}
@@ -48,9 +50,11 @@ def loosen(payload: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     spec, at, out = np.frombuffer(raw, np.int64, 2 * n, 8), 8 + 16 * n, []
-    for kind, length in spec.reshape(-1, 2).tolist():
-        out.append(np.frombuffer(raw, KINDS[kind], length, at))
-        at += out[-1].nbytes
+    for code, length in spec.reshape(-1, 2).tolist():
+        kind = KINDS[code]
+        planes = np.frombuffer(raw, np.uint8, length * kind.itemsize, at).reshape(kind.itemsize, length)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += length * kind.itemsize
     return out
 
 
@@ -67,16 +71,24 @@ class _Places(dict):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, ids, learns, payload of [tokens, lengths, word hashes], n)."""
+    """Rows (block, ids, learns, payload, hashes, n).
+
+    payload: token ranks by falling frequency, text lengths, and the rank of each word in order of its hash;
+    hashes: the words' hashes, ascending. Shards are ranges of hashes, so answers come back in that order.
+    """
     task, made = TaskContext.get().partitionId(), 0
     places, tokens, ids, learns, size = _Places({END: 0}), [], [], [], 0
 
     def close() -> pa.RecordBatch:
+        stream = np.concatenate(tokens)
+        often = np.argsort(-np.bincount(stream, minlength=len(places)), kind="stable")
+        rank = np.empty(len(often), np.int64)
+        rank[often] = np.arange(len(often))
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in places), np.uint64, len(places))
-        payload = squeeze(narrow(np.concatenate(tokens)), narrow(np.array([len(t) for t in tokens])), hashes)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([(task << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([learns], pa.list_(pa.bool_())), pa.array([payload], pa.binary()), pa.array([size])], ["block", "ids", "learns", "payload", "n"]
-        )
+        order = np.argsort(hashes)
+        payload = squeeze(narrow(rank[stream]), narrow(np.array([len(t) for t in tokens])), narrow(rank[order]), narrow(rank[:1]))
+        columns = [pa.array([(task << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([learns], pa.list_(pa.bool_())), pa.array([payload], pa.binary()), pa.array([hashes[order].tobytes()], pa.binary()), pa.array([size])]
+        return pa.RecordBatch.from_arrays(columns, ["block", "ids", "learns", "payload", "hashes", "n"])
 
     for batch in batches:
         for doc_id, t, learn in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("learns").to_pylist()):
@@ -98,32 +110,29 @@ class Block:
     """A block's tokens and, by order, what the shards told of its n-grams."""
 
     def __init__(self, row):
-        tokens, lengths, self.hashes = loosen(row["payload"])
-        self.tokens, lengths = tokens.astype(np.int64), lengths.astype(np.int64)
+        tokens, lengths, order, end = loosen(row["payload"])
+        self.tokens, lengths, self.order, self.end = tokens.astype(np.int64), lengths.astype(np.int64), order.astype(np.int64), int(end[0])
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         self.learns = np.repeat(np.asarray(row["learns"], bool), lengths)
         self.ids = list(row["ids"])
 
-    def word_queries(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        counts = np.bincount(self.tokens, self.learns, len(self.hashes)).astype(np.int64)
-        shard = (self.hashes % np.uint64(shards)).astype(np.int64)
-        for s in np.unique(shard).tolist():
-            own = np.flatnonzero(shard == s)
-            own = own[np.argsort(self.hashes[own])]
-            yield s, squeeze(self.hashes[own], narrow(counts[own]))
-
-    def learn_words(self, answers: dict[int, bytes], shards: int) -> None:
-        self.count, self.word = np.zeros(len(self.hashes), np.int64), np.full(len(self.hashes), -1, np.int64)
-        shard = (self.hashes % np.uint64(shards)).astype(np.int64)
-        for s, payload in answers.items():
-            own = np.flatnonzero(shard == s)
-            own = own[np.argsort(self.hashes[own])]
-            self.count[own], ids = (a.astype(np.int64) for a in loosen(payload))
-            self.word[own] = ids - 1
+    def word_queries(self, hashes: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+        counts = np.bincount(self.tokens, self.learns, len(self.order)).astype(np.int64)[self.order]
+        shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[s], cuts[s + 1])
+            yield s, squeeze(hashes[own], narrow(counts[own]))
+
+    def learn_words(self, answers: dict[int, bytes]) -> None:
+        told = [loosen(answers[s]) for s in sorted(answers)]
+        self.count, self.word = np.zeros(len(self.order), np.int64), np.full(len(self.order), -1, np.int64)
+        self.count[self.order] = np.concatenate([t[0].astype(np.int64) for t in told])
+        self.word[self.order] = np.concatenate([t[1].astype(np.int64) for t in told]) - 1
         # contexts of the next order: the word before, or END
-        before = np.concatenate([[0], self.tokens[:-1]])
-        before[self.starts] = 0
+        before = np.concatenate([[self.end], self.tokens[:-1]])
+        before[self.starts] = self.end
         self.context, self.context_count = self.word[before], self.count[before]
 
     def gram_queries(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -161,12 +170,13 @@ class Block:
         known, followers = [], []
         for s, payload in answers.items():
             own = shard == s
-            code[own], nodes, counts, contexts, kinds = loosen(payload)
-            node[own], seen[own] = nodes.astype(np.int64) - 1, counts
+            code[own], contexts, kinds, *more = loosen(payload)
+            if more:
+                node[own], seen[own] = more[0].astype(np.int64) - 1, more[1]
             known.append(contexts.astype(np.int64))
             followers.append(kinds.astype(np.int64))
         self.told, self.weight = np.zeros(len(self.tokens)), np.ones(len(self.tokens))
-        self.told[asks] = np.where(node[inverse] >= 0, 10.0 ** dequantise(code[inverse]), 0.0)
+        self.told[asks] = np.where(code[inverse] > 0, 10.0 ** dequantise(code[inverse]), 0.0)
         if known:
             names, at = np.unique(np.concatenate(known), return_inverse=True)
             kinds = np.bincount(at, np.concatenate(followers), len(names))
@@ -203,8 +213,8 @@ def count_words(shard: int, shards: int, asked: list[tuple[int, bytes]]) -> Iter
     yield -1, 1, shard, b"", int(counts.sum()), int((counts > 0).sum())
 
 
-def answer_grams(shard: int, shards: int, level: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple]:
-    """Build the shard's trie level and answer (codes, nodes + 1, counts, contexts, followers) by block."""
+def answer_grams(shard: int, shards: int, level: int, last: bool, asked: list[tuple[int, bytes]]) -> Iterator[tuple]:
+    """Build the shard's trie level and answer (codes, contexts, followers) by block, and below the last order nodes + 1 and counts."""
     parts = [[a.astype(np.int64) for a in loosen(p)] for _, p in asked]
     context, word, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
     train = counts > 0
@@ -225,13 +235,21 @@ def answer_grams(shard: int, shards: int, level: int, asked: list[tuple[int, byt
     trie = NgramLevel.mapped(NgramLevel.build(context, word, np.log10((counts - DISCOUNT) / np.repeat(sums, kinds))).image())
     for (block, _), (ask_context, ask_word, _, ask_hot, _) in zip(asked, parts):
         found, place, code = trie.lookup(ask_context, ask_word)
-        nodes = np.where(found, place * shards + shard + 1, 0)
         names = np.unique(np.concatenate([ask_context, ask_hot]))
         k = np.minimum(np.searchsorted(own, names), max(len(own) - 1, 0))
         tell = (own[k] == names) if len(own) else np.zeros(len(names), bool)
         followers = kinds[k[tell]] if len(own) else np.zeros(0, np.int64)
-        seen = np.where(found, counts[place] if len(counts) else 0, 0)
-        yield block, level, shard, squeeze(code.astype(np.uint16), narrow(nodes), narrow(seen), narrow(names[tell]), narrow(followers)), 0, 0
+        more = [] if last else [narrow(np.where(found, place * shards + shard + 1, 0)), narrow(np.where(found, counts[place] if len(counts) else 0, 0))]
+        yield block, level, shard, squeeze(code.astype(np.uint16), narrow(names[tell]), narrow(followers), *more), 0, 0
+
+
+def _stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Staged in the shared folder in buckets of ``key``, so that grouping by it moves nothing again."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
 
 
 def score_corpus(docs: DataFrame, learns: Column, order: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,30 +260,31 @@ def score_corpus(docs: DataFrame, learns: Column, order: int = 2, doc_id: str =
     repeat ids or lack them, and a null ``learns`` counts as true. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(learns, F.lit(True)).alias("learns"))
-    blocks = stage(rows.mapInArrow(_blocks, "block long, ids array<long>, learns array<boolean>, payload binary, n long"), "blocks")
+    made = rows.mapInArrow(_blocks, "block long, ids array<long>, learns array<boolean>, payload binary, hashes binary, n long")
+    blocks = _stage_bucketed(made, "blocks", "block")
     total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    word_shards, gram_shards = 1 + total // (2 * SHARD), 1 + total // SHARD
+    word_shards, gram_shards = 1 + total // (4 * SHARD), 1 + total // SHARD
 
     def ask_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                yield pd.DataFrame([(row["block"], s, p) for s, p in Block(row).word_queries(word_shards)], columns=["block", "shard", "payload"])
+                yield pd.DataFrame([(row["block"], s, p) for s, p in Block(row).word_queries(np.frombuffer(row["hashes"], np.uint64), word_shards)], columns=["block", "shard", "payload"])
 
     def told_words(group: pd.DataFrame) -> pd.DataFrame:
         asked = list(zip(group["block"].tolist(), group["payload"].tolist()))
         return pd.DataFrame(list(count_words(int(group["shard"].iloc[0]), word_shards, asked)), columns=[c.split()[0] for c in ANSWER.split(", ")])
 
-    queries = blocks.select("block", "ids", "learns", "payload").mapInPandas(ask_words, "block long, shard long, payload binary")
+    queries = blocks.drop("n").mapInPandas(ask_words, "block long, shard long, payload binary")
     answers = stage(queries.groupBy("shard").applyInPandas(told_words, ANSWER), "words", "none")
     sums = answers.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     train_tokens, types = int(sums[0]), int(sums[1])
-    answers = answers.where("block >= 0")
+    answers, slim = answers.where("block >= 0"), blocks.select("block", "ids", "learns", "payload")
 
     def replay(row, told: pd.DataFrame):
         """The block with everything its answers tell; yields after each order above 1."""
         block = Block(row)
         by_level = {level: dict(zip(part["shard"].tolist(), part["payload"].tolist())) for level, part in told.groupby("level")}
-        block.learn_words(by_level.get(1, {}), word_shards)
+        block.learn_words(by_level.get(1, {}))
         chance = (block.count[block.tokens] + 1) / (train_tokens + types + 1)
         base = chance
         for level in range(2, max(by_level, default=1) + 1):
@@ -276,7 +295,7 @@ def score_corpus(docs: DataFrame, learns: Column, order: int = 2, doc_id: str =
     def told_grams(level: int):
         def told(group: pd.DataFrame) -> pd.DataFrame:
             asked = list(zip(group["block"].tolist(), group["payload"].tolist()))
-            return pd.DataFrame(list(answer_grams(int(group["shard"].iloc[0]), gram_shards, level, asked)), columns=[c.split()[0] for c in ANSWER.split(", ")])
+            return pd.DataFrame(list(answer_grams(int(group["shard"].iloc[0]), gram_shards, level, level == order, asked)), columns=[c.split()[0] for c in ANSWER.split(", ")])
 
         return told
 
@@ -289,7 +308,7 @@ def score_corpus(docs: DataFrame, learns: Column, order: int = 2, doc_id: str =
                 out += [(row["block"], s, squeeze(*map(narrow, arrays))) for s, *arrays in block.gram_queries(gram_shards)]
             return pd.DataFrame(out, columns=["block", "shard", "payload"])
 
-        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(ask_grams, "block long, shard long, payload binary")
+        asked = slim.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(ask_grams, "block long, shard long, payload binary")
         answers = answers.unionByName(stage(asked.groupBy("shard").applyInPandas(told_grams(level), ANSWER), "grams", "none"))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -303,4 +322,4 @@ def score_corpus(docs: DataFrame, learns: Column, order: int = 2, doc_id: str =
         return pd.concat(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, schema)
+    return slim.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, schema)

@@ -34,7 +34,8 @@ def write_responses(df: DataFrame, path: str) -> None:
 
 
 def write_markdown(df: DataFrame, path: str) -> None:
-    df.select(markdown_text(F.col("markdown")).alias("value")).write.option("lineSep", "").text(path)
+    """Text files; the writer ends each document with the newline that it needs. Empty documents are left out."""
+    df.where("markdown != ''").select(F.regexp_replace("markdown", r"\n\z", "").alias("value")).write.text(path)
 
 
 def write_documents(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -61,10 +61,10 @@ class FMIndex:
             whole[s : s + len(t)] = t
         self.n = len(whole)
         self.sigma = int(whole.max()) + 1 if self.n else 1
-        ranks = [np.unique(whole, return_inverse=True)[1].astype(np.int64)]
+        ranks = [np.unique(whole, return_inverse=True)[1].astype(np.int32)]
         order = np.argsort(ranks[0], kind="stable")
         for k in range(ROUNDS):
-            step, last = 1 << k, ranks[-1]
+            step, last = 1 << k, ranks[-1].astype(np.int64)
             ahead = np.zeros(self.n, np.int64)
             if step < self.n:
                 ahead[:-step] = last[step:] + 1
@@ -72,7 +72,7 @@ class FMIndex:
             order = np.argsort(key, kind="stable")
             put = np.empty(self.n, np.int64)
             put[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0])) if self.n else 0
-            ranks.append(put)
+            ranks.append(put.astype(np.int32))
         self.common = self._common(ranks, order)
         self.text_of = np.searchsorted(self.starts, order, "right") - 1
         self.bwt = WaveletMatrix(whole[order - 1], self.sigma)

@@ -114,7 +114,7 @@ def trie_links(bits: np.ndarray, keys: np.ndarray, pairs: np.ndarray, depth: int
 
     def ones(level: int) -> np.ndarray:
         if level not in ones_at:
-            ones_at[level] = np.concatenate([[0], np.cumsum(bits[:, level], dtype=np.int64)])
+            ones_at[level] = np.concatenate([np.zeros(1, np.int32), np.cumsum(bits[:, level], dtype=np.int32)])
         return ones_at[level]
 
     def compare(nodes: np.ndarray) -> None:
@@ -222,7 +222,7 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
 
 
-def _whole_units(batches: Iterator[pa.RecordBatch], held: list[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+def _whole_units(batches: Iterator[pa.RecordBatch], held: list[pa.RecordBatch], rows: int = 25_000) -> Iterator[pa.Table]:
     """Tables of whole units from sorted batches; a unit is bounded, so what is held is."""
     count = 0
     for batch in batches:

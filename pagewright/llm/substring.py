@@ -26,8 +26,8 @@ from pagewright.plans.staging import stage
 
 GRAM = 16
 #: Windows in a segment at most; classes of an anchor beyond which it is split; classes in a shard on average.
-LONGEST, CROWD, SHARD = 64, 2048, 16_384
-MEMO = 500_000
+LONGEST, CROWD, SHARD = 64, 2048, 4096
+MEMO = 200_000
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 

@@ -19,7 +19,7 @@ NATIVE = (
     ("md_collapse_space", "t STRING", "STRING", rf"trim(regexp_replace(t, '{_SPACE}++', ' '))"),
     ("md_visible_text", "md STRING", "STRING", r"md_collapse_space(translate(regexp_replace(replace(md, '\r\n', '\n'), '(?d)\\[(.*?)\\]\\((.*?)\\)', '$1'), '`*_#>', ''))"),
     ("md_text_length", "md STRING", "INT", "length(md_visible_text(md))"),
-    ("md_paragraph_count", "md STRING", "INT", r"size(filter(split(md_trim_space(md), '\n\n'), p -> md_trim_space(p) != ''))"),
+    ("md_paragraph_count", "md STRING", "INT", rf"size(filter(split(md_trim_space(md), '\n\n'), p -> regexp_replace(p, '{_SPACE}++', '') != ''))"),
     ("md_link_labels", "line STRING", "ARRAY<STRING>", r"regexp_extract_all(line, '\\[([^\\]]+)\\]\\([^)]+\\)', 1)"),
     ("md_is_fence", "line STRING", "BOOLEAN", "startswith(md_trim_space(line), '```') OR startswith(md_trim_space(line), '~~~')"),
     ("md_link_density", "links INT, len INT", "DOUBLE", "CASE WHEN len > 0 THEN CAST(links AS DOUBLE) / len ELSE 0.0D END"),

@@ -20,9 +20,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: The same characters as a set to trim.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trim_space(text: Column) -> Column:
-    """Trim Unicode white space; Spark's own trim knows only U+0020."""
-    return F.regexp_replace(text, rf"\A{SPACE}++|{SPACE}++\z", "")
+    """Trim Unicode white space; Spark's plain trim knows only U+0020."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse_space(text: Column) -> Column:
@@ -64,10 +68,17 @@ def paragraph_count(markdown: Column) -> Column:
     return F.size(F.filter(parts, lambda p: trim_space(p) != ""))
 
 
+def first_lines(markdown: Column, count: int, shape: Callable[[Column], Column]) -> Column:
+    """The first ``count`` non-empty results of ``shape`` over the lines; later lines are not shaped."""
+    def step(out: Column, line: Column) -> Column:
+        return F.when(F.size(out) >= count, out).otherwise(let(shape(line), lambda v: F.when(v == "", out).otherwise(F.concat(out, F.array(v)))))
+
+    return F.aggregate(split_lines(markdown), F.array().cast("array<string>"), step)
+
+
 def opening_text(markdown: Column, lines: int) -> Column:
     """The first lines with visible text, visible parts only, joined by newlines."""
-    shown = F.filter(F.transform(split_lines(markdown), visible_text), lambda v: v != "")
-    return F.array_join(F.slice(shown, 1, lines), "\n")
+    return F.array_join(first_lines(markdown, lines, visible_text), "\n")
 
 
 def largest_source(srcset: Column) -> Column:

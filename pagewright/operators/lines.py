@@ -42,25 +42,31 @@ def is_fence(trimmed: Column) -> Column:
 
 
 def is_control_line(line: Column) -> Column:
-    text = trim_space(line)
-    label = F.lower(trim_space(F.regexp_extract(text, rf"\A{LINK_LABELS}\z", 1)))
-    return F.lower(text).isin(*CONTROL_LINES) | F.lower(text).startswith("[timeline](") | label.isin(*CONTROL_LINES)
+    def test(text: Column) -> Column:
+        label = F.lower(trim_space(F.regexp_extract(text, rf"\A{LINK_LABELS}\z", 1)))
+        low = F.lower(text)
+        return low.isin(*CONTROL_LINES) | text.startswith("[") & (low.startswith("[timeline](") | label.isin(*CONTROL_LINES))
+
+    return let(trim_space(line), test)
+
+
+def is_links_only(text: Column) -> Column:
+    return text.startswith("[") & text.rlike(LINKS_ONLY)
 
 
 def is_pagination_line(line: Column) -> Column:
-    text = trim_space(line)
     pager = lambda label: let(F.lower(trim_space(label)), lambda v: v.rlike(NUMBER) | v.isin(*PAGER_LABELS))
-    return text.rlike(LINKS_ONLY) & F.forall(link_labels(text), pager)
+    return let(trim_space(line), lambda text: is_links_only(text) & F.forall(link_labels(text), pager))
 
 
 def is_short_link(text: Column) -> Column:
-    return text.rlike(LINK_ONLY) & (F.length(text) <= LONGEST_SHELL_LINE)
+    return text.startswith("[") & (F.length(text) <= LONGEST_SHELL_LINE) & text.rlike(LINK_ONLY)
 
 
 def is_opening_shell_line(trimmed: Column) -> Column:
     item = trim_space(F.regexp_replace(trimmed, r"\A- ", ""))
     listed = trimmed.startswith("- ") & (is_control_line(item) | is_short_link(item))
-    return is_control_line(trimmed) | trimmed.rlike(NUMBER) | trimmed.rlike(BREADCRUMB) | is_short_link(trimmed) | listed
+    return is_control_line(trimmed) | trimmed.rlike(NUMBER) | trimmed.startswith("[") & trimmed.rlike(BREADCRUMB) | is_short_link(trimmed) | listed
 
 
 def is_broken_metric_line(trimmed: Column, following: Column) -> Column:
@@ -70,7 +76,7 @@ def is_broken_metric_line(trimmed: Column, following: Column) -> Column:
 def is_metric_line(line: Column, before: Column, after: Column) -> Column:
     """A bare number beside a control, pager, link or heading line; ``before`` and ``after`` are the nearest non-blank lines."""
     def frames(near: Column) -> Column:
-        return let(trim_space(F.coalesce(near, F.lit(""))), lambda t: (t != "") & (is_control_line(t) | is_pagination_line(t) | t.rlike(LINK_ONLY) | t.rlike(LINKS_ONLY) | t.startswith("#")))
+        return let(trim_space(F.coalesce(near, F.lit(""))), lambda t: (t != "") & (is_control_line(t) | is_pagination_line(t) | is_links_only(t) | t.startswith("#")))
 
     return trim_space(line).rlike(NUMBER) & (frames(before) | frames(after))
 

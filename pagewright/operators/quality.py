@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import let, occurrences, opening_text, paragraph_count, split_lines, trim_space, visible_text
+from pagewright.functions.text import first_lines, let, occurrences, opening_text, paragraph_count, trim_space, visible_text
 
 # Phrases of a page's shell, and the thresholds of the score.
 SHELL_PHRASES = (
@@ -44,7 +44,7 @@ def shell_penalty(markdown: Column) -> Column:
 
 
 def table_penalty(markdown: Column) -> Column:
-    opening = F.slice(F.filter(F.transform(split_lines(markdown), trim_space), lambda x: x != ""), 1, TABLE_LINES)
+    opening = first_lines(markdown, TABLE_LINES, trim_space)
 
     def weigh(lines: Column) -> Column:
         rows = F.size(F.filter(lines, lambda x: x.startswith("|") | x.contains("| --- |")))

@@ -7,6 +7,9 @@ bits are drawn at random, in as many views as the wanted recall needs. In a unit
 traversed together: differing bits accumulate, and a pair of nodes is pruned when they exceed the budget.
 A unit returns a spanning forest of its links, at most one row per member, however dense it is. Crowded
 units are split into tiles, each pair of which is a unit.
+
+``near_groups`` links by exact similarity of shingle sets: components of fingerprints within a wide budget
+are candidates, and every pair inside a component is compared by its shingles.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ CROWD = 4096
 LEAF, LEAF_PAIRS, FRONT = 64, 1 << 19, 1 << 17
 #: Exact blocks are used for budgets up to this one.
 SMALL_BUDGET = 7
+#: Shingles in a tile of a component of candidates.
+SHINGLES = 1 << 21
+#: Largest chance that a bit differs between fingerprints of two shingle sets of similarity 0.8 (sets of 4 and 5).
+DIFFER = 0.1875
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -91,15 +98,28 @@ class View:
     lead: int  # how many lead
 
 
-def plan_views(width: int, budget: int, members: int, recall: float = 0.98) -> list[View]:
-    """Exact blocks for a small budget; else random leading bits, in views enough for pairs at the budget."""
+def plan_views(width: int, budget: int, members: int, recall: float = 0.98, differ: float | None = None) -> list[View]:
+    """Exact blocks for a small budget; else random leading bits, in views enough for the recall.
+
+    The recall is that of a pair at the budget or, with ``differ``, of a pair whose bits differ with that
+    chance each. Bits are drawn without replacement.
+    """
     if budget <= SMALL_BUDGET:
         cuts = [width * k // (budget + 1) for k in range(budget + 2)]
         return [View(tuple(range(s, width)) + tuple(range(s)), e - s) for s, e in zip(cuts, cuts[1:])]
-    lead = max(8, math.ceil(math.log2(max(members, 2))) - 5)
-    agree = (1 - budget / width) ** lead
+    lead = max(8, math.ceil(math.log2(max(members, 2))) - (5 if differ is None else 8))
+    agree = np.array([math.comb(width - d, lead) / math.comb(width, lead) for d in range(budget + 1)])
+    if differ is None:
+        chance = np.eye(budget + 1)[budget]
+    else:
+        chance = np.array([math.comb(width, d) * differ**d * (1 - differ) ** (width - d) for d in range(budget + 1)])
+        if chance.sum() <= recall:
+            raise ValueError("the budget is too small for the recall")
+    count = 1
+    while chance @ (1 - (1 - agree) ** count) < recall:
+        count += 1
     draw = np.random.default_rng(17)
-    return [View(tuple(draw.permutation(width).tolist()), lead) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
+    return [View(tuple(draw.permutation(width).tolist()), lead) for _ in range(count)]
 
 
 def trie_links(bits: np.ndarray, keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int) -> np.ndarray:
@@ -167,10 +187,10 @@ def trie_links(bits: np.ndarray, keys: np.ndarray, pairs: np.ndarray, depth: int
     return root
 
 
-def link_fingerprints(classes: DataFrame, lanes: int, budget: int, recall: float = 0.98) -> DataFrame:
+def link_fingerprints(classes: DataFrame, lanes: int, budget: int, recall: float = 0.98, differ: float | None = None) -> DataFrame:
     """(a, b) ids: per unit, a spanning forest of the links between ``classes`` (id, f0, f1, ...)."""
     width, names = 64 * lanes, [f"f{k}" for k in range(lanes)]
-    views = plan_views(width, budget, classes.count(), recall)
+    views = plan_views(width, budget, classes.count(), recall, differ)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,8 +284,108 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, lanes: int = 4, budget: in
     return prints.join(known, match, "left").select("doc_id", *names, "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, lanes: int = 4, budget: int = 38, recall: float = 0.98) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int, lanes: int = 0) -> DataFrame:
+    """(doc_id, cid, n, f0, f1, ...) per row: digest, size and fingerprint of its set of shingles; without lanes, the set as ``members`` instead."""
+    names = [f"f{k}" for k in range(lanes)]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words_of(t.as_py(), lower=True), shingle)) for t in batch.column("text")]
+            cids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            columns = [batch.column("doc_id"), pa.array(cids), pa.array(np.array([len(s) for s in sets], np.int64))]
+            if lanes:
+                found = np.array([[majority(lane) for lane in widen(s, lanes)] for s in sets], np.int64).reshape(-1, lanes)
+                columns += [pa.array(found[:, k]) for k in range(lanes)]
+            else:
+                columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cid", "n", *(names or ["members"])])
+
+    schema = "doc_id long, cid long, n long, " + (", ".join(f"{n} long" for n in names) or "members binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, schema)
+
+
+def similar_roots(sets: list[np.ndarray], similarity: float, own: np.ndarray) -> np.ndarray:
+    """Roots after linking sets of at least that Jaccard similarity; if ``own`` has both values, only pairs across it are compared."""
+    root, sizes = np.arange(len(sets)), np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    holder = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
+    holder, starts = holder[order], np.concatenate([[0], np.cumsum(count)])
+    stops = np.cumsum(sizes)
+    across = own.any() and not own.all()
+    for i in np.flatnonzero(own) if across else range(len(sets)):
+        if not (root != root[0]).any():
+            break
+        mine = name[stops[i] - sizes[i] : stops[i]]
+        mine = mine[count[mine] > 1]
+        runs = count[mine]
+        at = np.arange(runs.sum()) + np.repeat(starts[mine] - np.cumsum(runs) + runs, runs)
+        both = np.bincount(holder[at], minlength=len(sets))
+        near = both >= similarity * (sizes[i] + sizes - both) - 1e-9
+        near &= (both > 0) & (root != root[i])
+        if across:
+            near &= ~own
+        others = np.flatnonzero(near)
+        root = local_roots(len(root), np.full(len(others), i), others, root)
+    return root
+
+
+def link_similar(docs: DataFrame, classes: DataFrame, loose: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) digests: per pair of tiles of a loose component (node, component), a spanning forest of its exact links."""
+    inside = classes.join(loose.withColumnRenamed("node", "cid"), "cid").select("cid", "id", "n", "component")
+    tiles = inside.groupBy("component").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("tiles"))
+    inside = stage(inside.join(tiles, "component"), "suspects")
+    wanted = inside.select(F.col("id").alias("wanted_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = shingle_sets(texts.join(wanted, texts["doc_id"] == wanted["wanted_id"], "left_semi"), shingle)
+    sets = held.join(inside.select("cid", "id", "component", "tiles"), "cid").where("doc_id = id").dropDuplicates(["cid"])
+    told = sets.withColumn("t", F.pmod(F.xxhash64("cid"), F.greatest("tiles", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("tiles") - 1, F.lit(0))))
+    order = ["component", "i", "j"]
+    units = told.withColumn("o", other).select("component", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "cid", "members")
+
+    def join(group: pa.Table) -> pa.Table:
+        cid, first = np.unique(group.column("cid").to_numpy(), return_index=True)
+        members = group.column("members").to_pylist()
+        sets_of = [np.frombuffer(members[k], np.uint64) for k in first]
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        t = group.column("t").to_numpy()[first]
+        if i != j and (t == t[0]).all():
+            root = np.arange(len(cid))
+        else:
+            root = similar_roots(sets_of, similarity, t == i)
+        met = np.flatnonzero(root != np.arange(len(cid)))
+        return pa.table({"a": cid[met], "b": cid[root[met]]})
+
+    return units.groupBy(*order).applyInArrow(join, "a long, b long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, budget: int = 72, recall: float = 0.98) -> DataFrame:
+    """(doc_id, cid, component_id) per row of ``docs``: components of rows whose shingle sets have at least that Jaccard similarity.
+
+    A pair is a candidate if it falls into one component of fingerprints within ``budget`` bits; candidates
+    are compared exactly, so no pair below ``similarity`` links. The views are planned for ``recall`` of pairs
+    at 0.8; equal sets always meet, empty ones too. Rows that repeat an id join their components; a row
+    without an id takes the component of its set, or null, and links nothing.
+    """
+    names = [f"f{k}" for k in range(lanes)]
+    prints = stage(shingle_sets(docs, shingle, lanes), "prints")
+    classes = stage(prints.where("doc_id is not null").groupBy("cid", "n", *names).agg(F.min("doc_id").alias("id")), "classes")
+    links = link_fingerprints(classes.where("n > 0").select(F.col("cid").alias("id"), *names), lanes, budget, recall, DIFFER)
+    loose = connected_components(links, "a", "b")
+    exact = stage(link_similar(docs, classes, loose, shingle, similarity), "similar")
+    key = classes.select("cid", "id")
+    links = exact.join(key.toDF("a", "x"), "a").join(key.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    again = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    shared = prints.join(again, "doc_id").join(key, "cid").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    component = connected_components(links.unionByName(shared), "a", "b").withColumnRenamed("node", "id")
+    known = key.join(component, "id", "left").select("cid", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(known, "cid", "left").select("doc_id", "cid", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, budget: int = 72, recall: float = 0.98) -> DataFrame:
     """``docs`` (doc_id, text and any more) less all but the first document of each group; rows without an id stay."""
-    groups = simhash_groups(docs.select("doc_id", "text"), shingle, lanes, budget, recall)
+    groups = near_groups(docs.select("doc_id", "text"), shingle, similarity, lanes, budget, recall)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("dropped_doc_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["dropped_doc_id"], "left_anti")

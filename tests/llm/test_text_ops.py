@@ -168,6 +168,33 @@ def test_keep_one(spark):
     assert sorted((r[0] or -1) for r in kept) == [-1, 3, 4] and len(kept[0]) == 3
 
 
+@pytest.mark.parametrize("tile", [1 << 21, 3000])
+def test_near_groups_by_exact_similarity(spark, monkeypatch, tile):
+    """Pairs of known similarity at 0.8 to 0.85 meet, pairs just below do not; one long chain of near copies spans tiles."""
+    monkeypatch.setattr(simhash, "SHINGLES", tile)
+    draw = random.Random(21)
+    word = lambda: f"v{draw.randint(0, 10**9)}"
+    rows, alike = [], {}
+    for k in range(400):
+        n = draw.choice([8, 40, 104, 405])
+        a = [word() for _ in range(n)]
+        cut = max(1, round((n - 4) * draw.choice([0.07, 0.09, 0.1, 0.11, 0.125, 0.2])))
+        b = a[: n - cut] + ([] if n == 8 else [word() for _ in range(cut)])
+        s, t = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+        alike[2 * k + 1] = len(s & t) / len(s | t)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    chain = [word() for _ in range(300)]
+    for k in range(60):
+        rows.append((1000 + k, " ".join(chain)))
+        chain = chain[20:] + [word() for _ in range(20)]
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    limit = [i for i, j in alike.items() if 0.8 <= j <= 0.85]
+    assert len(limit) > 80 and any(0.7 < j < 0.8 for j in alike.values())
+    assert all(group[i] == i for i, j in alike.items() if j < 0.8)
+    assert sum(group[i] == i - 1 for i in limit) >= 0.97 * len(limit)
+    assert {group[1000 + k] for k in range(60)} == {1000}
+
+
 # --- substrings ---
 
 

@@ -57,30 +57,34 @@ def source_targets(sizes: DataFrame, schedule: Schedule, share: float, repeats:
 
 
 def mix_sources(
-    docs: DataFrame, schedule: Schedule = ((1.0, (3, 1, 2)),), share: float = 1.5, repeats: int = 2, text: str = "text"
+    docs: DataFrame, schedule: Schedule = ((1.0, (3, 1, 2)),), share: float = 1.5, repeats: int = 2, text: str = "text", row: str | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, positions.
 
+    ``row``: a column that is unique by row; it is returned too, so that positions find their own row where
+    ids repeat or are null. Further ties then go by the text.
+
     size: words (null text: 0). taken: copies x size, at most
     ``repeats`` x size. positions: array<double>, one training time in 0..1 per copy.
     Ties in md5(doc_id) go by doc_id and size. Rows equal in both are interchangeable: one of them may be
     taken where another is not. A null doc_id hashes as ''. Runs agree: nothing depends on partitioning.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    base = stage(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, 3)), "mix")
+    own = [] if row is None else [F.col(row), F.xxhash64(text).alias("tie")]
+    base = stage(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), key.alias("key"), *own).withColumn("bucket", F.substring("key", 1, 3)), "mix")
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), schedule, share, repeats)
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(running), F.lit(0))).drop("bucket_size")
     places = places.join(targets, places["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *([] if row is None else ["tie"])).rowsBetween(Window.unboundedPreceding, -1)
     inside = base.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = inside.join(places, inside["source"].eqNullSafe(places["source"]) & (inside["bucket"] == places["bucket"])).drop(places["source"]).drop(places["bucket"])
     middle = lambda p: F.col("bucket_start") + F.col("inside") + F.col("size") / 2 + p * F.col("source_size")
     places_taken = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda p: middle(p) / F.col("target")), lambda c: c < 1)
     return rows.withColumn("share_done", F.when(F.col("target") > 0, places_taken).otherwise(F.array().cast("array<double>"))).select(
         "doc_id", "source", "size", "source_size", "target", (F.size("share_done") * F.col("size")).alias("taken"),
-        F.transform("share_done", lambda c: _invert(c, schedule)).alias("positions"),
+        F.transform("share_done", lambda c: _invert(c, schedule)).alias("positions"), *([] if row is None else [row]),
     )
 
 

@@ -218,3 +218,25 @@ def test_pipeline_stages(spark, pipeline):
 def test_pipeline_run(spark, pipeline):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(pipeline.run(spark, SF).columns)
     assert pipeline.ORACLE_SQL is None
+
+
+def test_mix_places_rows_not_ids(spark, pipeline):
+    """Rows without an id stay, and none of many rows of one id is taken more than twice."""
+    texts = [f"null {k} " + "w " * 9 for k in range(6)] + [f"again {k} " + "w " * 9 for k in range(6)] + ["same text " * 5] * 4 + [f"own {k} " + "w " * 9 for k in range(6)]
+    ids = [None] * 6 + [1] * 6 + [2] * 4 + list(range(10, 16))
+    docs = spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in zip(ids, texts)], "doc_id long, text string, source string, lang string, n_chars long")
+    got = pipeline.mix(spark, docs, SF)
+    assert got.columns == docs.columns
+    counts = {r["text"]: r["count"] for r in got.groupBy("text").count().collect()}
+    # one source: every row once, and half of the words a second time
+    assert set(counts) == set(texts) and all(n <= (8 if t == texts[12] else 2) for t, n in counts.items())
+    assert 1.3 * len(texts) <= sum(counts.values()) <= 1.7 * len(texts)
+
+
+def test_toxic_rows_go_by_their_own_flag(spark, pipeline, monkeypatch):
+    from pagewright.llm import toxicity
+
+    model = toxicity.ToxicityModel(toxicity.ConvNet(), {"en": 0.0, "fr": 2.0})  # flags all of en, nothing of fr
+    monkeypatch.setattr(toxicity.ToxicityModel, "train", lambda *_: model)
+    docs = spark.createDataFrame([(None, "a", "en"), (None, "b", "fr"), (1, "c", "en"), (1, "d", "fr"), (2, None, "fr")], "doc_id long, text string, lang string")
+    assert sorted(tuple(r) for r in pipeline.drop_toxic(spark, docs, SF).select("lang", F.coalesce("text", F.lit(""))).collect()) == [("fr", ""), ("fr", "b"), ("fr", "d")]

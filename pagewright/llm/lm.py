@@ -136,19 +136,22 @@ class Block:
         self.context, self.context_count = self.word[before], self.count[before]
 
     def gram_queries(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(shard, contexts, words, training counts, hot contexts, their counts), distinct and sorted."""
+        """(shard, contexts, words, training counts, contexts named apart, their counts), distinct and sorted."""
         asks = (self.context >= 0) & (self.count[self.tokens] > 0)
         context, word, inverse, counts, sums = self._distinct(asks)
-        salts = np.maximum(1, sums // HOT)
-        shard = _shard(context, word % salts, shards)
-        hot = np.unique(context[salts > 1])
-        hot_sum = {c: int(n) for c, n in zip(context[salts > 1].tolist(), sums[salts > 1].tolist())}
-        targets = set(np.unique(shard).tolist())
-        hot_shards = {c: set(_shard(np.full(n // HOT, c), np.arange(n // HOT), shards).tolist()) for c, n in hot_sum.items()}
-        for s in sorted(targets.union(*hot_shards.values())):
-            own = shard == s
-            mine = np.array([c for c in hot.tolist() if s in hot_shards[c]], np.int64)
-            yield s, context[own], word[own], counts[own], mine, np.array([hot_sum[c] for c in mine.tolist()], np.int64)
+        shard = _shard(context, word % np.maximum(1, sums // HOT), shards)
+        # named apart from their pairs: contexts in several shards, and those that only unknown words follow here
+        known = np.flatnonzero(self.context >= 0)
+        names, first = np.unique(self.context[known], return_index=True)
+        totals = self.context_count[known[first]]
+        apart = (totals // HOT > 1) | ~np.isin(names, context)
+        names, totals = names[apart], totals[apart]
+        salts = np.maximum(1, totals // HOT)
+        owner = np.repeat(np.arange(len(names)), salts)
+        where = _shard(names[owner], np.arange(len(owner)) - np.repeat(np.cumsum(salts) - salts, salts), shards)
+        for s in np.unique(np.concatenate([shard, where])).tolist():
+            own, mine = shard == s, np.unique(owner[where == s])
+            yield s, context[own], word[own], counts[own], names[mine], totals[mine]
 
     def _distinct(self, asks: np.ndarray):
         context, word = self.context[asks], self.word[self.tokens[asks]]

@@ -357,6 +357,17 @@ def test_model_is_a_distribution(spark):
         assert got[10 + k]["score"] == pytest.approx(want, abs=2e-3)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_contexts_before_unknown_words_in_any_partitioning(spark, order):
+    rows = [(k, t) for k, t in enumerate(["a b rare x", "a b a c", "b c a rare"])] + [(10, "rare zz"), (11, "a rare yy a")]
+    marks = [i < 10 for i, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: x[4] for (i, _), x in zip(rows, brute_lm(rows, marks, order))}
+    for parts in (df.coalesce(1), df.repartitionByRange(5, "doc_id")):
+        got = {r["doc_id"]: r["score"] for r in lm.score_corpus(parts, F.col("doc_id") < 10, order=order).collect()}
+        assert got == pytest.approx(want, abs=3e-3)
+
+
 def test_trigrams_beat_bigrams_on_training_text(docs):
     by = {o: lm.score_corpus(docs, F.lit(True), order=o).agg(F.sum("score")).first()[0] for o in (2, 3)}
     assert by[3] > by[2]

@@ -64,6 +64,17 @@ class EliasFano:
             left, at = left - np.where(go, count, 0), at + np.where(go, step, 0)
         return word * 64 + at
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values (from 0)."""
+        word = np.searchsorted(self.before, i, "right") - 1
+        left, bits, at = i - self.before[word].astype(np.int64), self.high[word], np.zeros(len(i), np.int64)
+        for step in (32, 16, 8, 4, 2, 1):
+            mask = np.uint64((1 << step) - 1)
+            count = np.bitwise_count((bits >> at.astype(np.uint64)) & mask).astype(np.int64)
+            go = left >= count
+            left, at = left - np.where(go, count, 0), at + np.where(go, step, 0)
+        return (word * 64 + at - i << self.width) + self.lows(i).astype(np.int64)
+
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
@@ -74,12 +85,14 @@ class EliasFano:
         out[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
         return out & np.uint64((1 << self.width) - 1)
 
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first value >= x, whether it equals x), by successor search in x's bucket of high bits."""
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value >= x, whether it equals x), by successor search in x's bucket of high bits, from ``first`` to before ``last``."""
         x = x.astype(np.int64)
         high = x >> self.width
         start = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - (high - 1), 0)
         stop = self._zero(high) - high
+        if first is not None:
+            start, stop = np.maximum(start, first), np.minimum(stop, last)
         want = (x & ((1 << self.width) - 1)).astype(np.uint64)
         lo, hi = start.copy(), stop.copy()
         while (open_ := lo < hi).any():
@@ -115,13 +128,28 @@ class NgramLevel:
             EliasFano.build(rank * universe + word, max(1, len(own)) * universe), quantise(log10p), universe,
         )
 
+    def span(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the children of the rank-th contexts begin and end, by the pointers."""
+        return self.pointers.get(rank), self.pointers.get(rank + 1)
+
+    def followers(self, context: np.ndarray) -> np.ndarray:
+        """How many children each context has; 0 for one that the level lacks."""
+        out = np.zeros(len(context), np.int64)
+        ask = (context < self.contexts.universe) & (self.contexts.n > 0)
+        if ask.any():
+            rank, known = self.contexts.find(context[ask])
+            first, last = self.span(np.where(known, rank, 0))
+            out[ask] = np.where(known, last - first, 0)
+        return out
+
     def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, place, code) of each n-gram; place and code are 0 where it is not found."""
         found, place = np.zeros(len(context), bool), np.zeros(len(context), np.int64)
         ask = (context < self.contexts.universe) & (word < self.universe) & (self.contexts.n > 0)
         if ask.any():
             rank, known = self.contexts.find(context[ask])
-            at, same = self.children.find(np.where(known, rank, 0) * self.universe + word[ask])
+            rank = np.where(known, rank, 0)
+            at, same = self.children.find(rank * self.universe + word[ask], *self.span(rank))
             found[ask], place[ask] = known & same, at
         place[~found] = 0
         return found, place, np.where(found, self.codes[place] if len(self.codes) else 0, 0)

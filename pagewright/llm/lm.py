@@ -239,11 +239,10 @@ def answer_grams(shard: int, shards: int, level: int, last: bool, asked: list[tu
     for (block, _), (ask_context, ask_word, _, ask_hot, _) in zip(asked, parts):
         found, place, code = trie.lookup(ask_context, ask_word)
         names = np.unique(np.concatenate([ask_context, ask_hot]))
-        k = np.minimum(np.searchsorted(own, names), max(len(own) - 1, 0))
-        tell = (own[k] == names) if len(own) else np.zeros(len(names), bool)
-        followers = kinds[k[tell]] if len(own) else np.zeros(0, np.int64)
+        followers = trie.followers(names)
+        tell = followers > 0
         more = [] if last else [narrow(np.where(found, place * shards + shard + 1, 0)), narrow(np.where(found, counts[place] if len(counts) else 0, 0))]
-        yield block, level, shard, squeeze(code.astype(np.uint16), narrow(names[tell]), narrow(followers), *more), 0, 0
+        yield block, level, shard, squeeze(code.astype(np.uint16), narrow(names[tell]), narrow(followers[tell]), *more), 0, 0
 
 
 def _stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:

@@ -53,7 +53,7 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_corpus(table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id"), 7) != 2, order=2)
+    return lm.score_corpus(table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id"), 7) != 2, order=3)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

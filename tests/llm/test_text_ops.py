@@ -368,6 +368,30 @@ def test_contexts_before_unknown_words_in_any_partitioning(spark, order):
         assert got == pytest.approx(want, abs=3e-3)
 
 
+def test_pointers_bound_the_children():
+    draw = np.random.default_rng(5)
+    grams = np.unique(draw.integers(0, 90, (2000, 2)) * [7, 1], axis=0)
+    level = NgramLevel.build(grams[:, 0], grams[:, 1], np.full(len(grams), -1.0))
+    names = np.arange(700)
+    assert (level.followers(names) == np.bincount(grams[:, 0], minlength=700)[:700]).all()
+    first, last = level.span(np.arange(level.contexts.n))
+    assert (np.append(first, last[-1]) == level.pointers.get(np.arange(level.pointers.n))).all() and last[-1] == len(grams)
+    found, place, _ = level.lookup(grams[:, 0], grams[:, 1])
+    assert found.all() and (place == np.arange(len(grams))).all()
+    level.pointers = EliasFano.build(np.zeros(level.pointers.n, int), len(grams) + 1)
+    assert not level.lookup(grams[:, 0], grams[:, 1])[0].any()
+
+
+def test_query_scores_trigrams(monkeypatch):
+    from pagewright.llm import queries
+
+    monkeypatch.setattr(queries, "table", lambda *_: None)
+    monkeypatch.setattr(queries.lm, "score_corpus", lambda docs, learns, order: order)
+    monkeypatch.setattr(queries.toxicity, "fold", lambda *_: 0)
+    monkeypatch.setattr(queries.F, "col", lambda name: name)
+    assert queries.op3_lm_score(None, "") >= 3
+
+
 def test_trigrams_beat_bigrams_on_training_text(docs):
     by = {o: lm.score_corpus(docs, F.lit(True), order=o).agg(F.sum("score")).first()[0] for o in (2, 3)}
     assert by[3] > by[2]

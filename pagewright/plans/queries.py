@@ -437,6 +437,25 @@ def link_target_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.unknown_targets(edges, edges.where("page_id = 0").select(F.col("target").alias("url"))).select("page_id", "target")
 
 
+def _page_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges to absolute targets, and all pages; urls of both in resolved form, without fragments."""
+    plain = lambda url: F.regexp_replace(url, "#.*", "")
+    links = convert.distinct_references(kernel.page_references(("a",), "href")(F.col("html")))
+    edges = pages_of(spark, sf_dir).select("page_id", "url", F.explode(links).alias("href")).select("page_id", plain(kernel.resolve_url()(F.col("url"), F.col("href"))).alias("target"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(plain(kernel.resolve_url()(F.col("url"), F.col("url"))).alias("url"))
+    return edges.distinct(), pages.where("url is not null").distinct()
+
+
+@query("link_page_known")
+def link_page_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.known_targets(*_page_edges(spark, sf_dir)).select("page_id", "target")
+
+
+@query("link_page_unknown")
+def link_page_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.unknown_targets(*_page_edges(spark, sf_dir)).select("page_id", "target")
+
+
 @query("top_documents", f"WITH q AS (SELECT doc_id, lang, length({d_visible('replace(coalesce(text, chr(32)), chr(13) || chr(10), chr(10))')})::INT AS text_length FROM documents) SELECT doc_id, lang, text_length, row_number() OVER (PARTITION BY lang ORDER BY text_length DESC, doc_id)::INT AS rank FROM q QUALIFY rank <= 10")
 def top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.length(tx.visible_text(F.coalesce("text", F.lit("")))).alias("text_length"))

@@ -33,3 +33,11 @@ def test_page_queries_agree_with_oracles(spark, entry):
         df = QUERIES[name](spark, SF)
         assert sorted(df.columns) == columns, name
         assert sorted((tuple(r) for r in df.select(columns).collect()), key=repr) == want, name
+
+
+def test_links_to_any_page(spark, entry, tmp_path):
+    rows = [(0, "http://a.org/x/1", '<a href="2">n</a><a href="/y#top">n</a><a href="http://b.org/">n</a>'), (1, "http://a.org/x/2#f", '<a href="//b.org/">n</a><a href="../y">n</a>'), (2, "http://b.org/", '<a href="http://a.org/x/1">n</a>'), (3, "http://a.org/y", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {name: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()) for name in ("link_page_known", "link_page_unknown")}
+    assert got["link_page_unknown"] == []
+    assert got["link_page_known"] == [(0, "http://a.org/x/2"), (0, "http://a.org/y"), (0, "http://b.org/"), (1, "http://a.org/y"), (1, "http://b.org/"), (2, "http://a.org/x/1")]

@@ -2,22 +2,28 @@
 
 Two URLs are aliases if a chain of redirects and canonical links joins them. Rules decide first; an
 alias without a rule takes the decision of its component, where an explicit allow outweighs any block.
-Everything is DataFrame code. A node is host + path + query (scheme and fragment do not tell pages apart).
+All but the reading of markup is DataFrame code. A node is host + path + query (scheme and fragment do not tell pages apart).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.dom.tree import parse
+from pagewright.dom.urls import Unparsable, base_of, join, parse_url
 from pagewright.llm.components import connected_components
 from pagewright.llm.words import lower_ascii
 from pagewright.plans.staging import stage
 
 #: Rule lists up to this length become literals of the plan; longer ones are joined on host suffixes.
 LITERAL_RULES = 512
+#: Content of a meta refresh: seconds, then the target, quoted or not.
+REFRESH = re.compile(r"""\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"(?P<double>[^"]*)|'(?P<single>[^']*)|(?P<bare>[^"'].*))""", re.I | re.S)
 
 
 @dataclass(frozen=True)
@@ -82,21 +88,43 @@ def match_rules(df: DataFrame, rules: list[Rule], host: str = "host", path: str
     )
 
 
+def alias_targets(html: str, url: str) -> list[str]:
+    """Absolute targets of a page's canonical links and meta refreshes, against its url or base element, without fragments."""
+    found, head = [], None
+    for e in parse(html).elements():
+        value = None
+        if e.tag == "base" and head is None:
+            head = e.attrs.get("href")
+        elif e.tag == "link" and "canonical" in (e.attrs.get("rel") or "").lower().split():
+            value = e.attrs.get("href")
+        elif e.tag == "meta" and (e.attrs.get("http-equiv") or "").strip().lower() == "refresh" and (m := REFRESH.match(e.attrs.get("content") or "")):
+            value = m["double"] or m["single"] or m["bare"]
+        if value and value.strip():
+            found.append(value.strip())
+    base, out = base_of(url, head), []
+    for value in found:
+        try:
+            to = join(base, parse_url(value)) if base else parse_url(value)
+        except Unparsable:
+            out.append(value)
+            continue
+        if to.authority:
+            # as written, not percent-encoded: nodes are compared with page urls as they are
+            out.append(f"{to.scheme}://{to.authority}{to.path}" + ("" if to.query is None else "?" + to.query))
+    return out
+
+
 def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) nodes from canonical links and meta refreshes; targets may be absolute or root-relative."""
-    def attr(tag: Column, name: str) -> Column:
-        return F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*[\"']?([^\"'>]*)", 1)
-
-    doc, here = F.coalesce(F.col(html), F.lit("")), F.col(url)
-    link = F.regexp_extract(doc, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    meta = F.regexp_extract(doc, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    goes = F.regexp_extract(attr(meta, "content"), r"(?is)url\s*=\s*(\S+)", 1)
-    site = F.regexp_extract("from", r"\A[^/?#]*://[^/?#]*", 0)
-    absolute = lambda to: F.when(to.startswith("/") & ~to.startswith("//"), F.concat(site, to)).otherwise(to)
+    """(src, dst) nodes from canonical links and meta refreshes; references of any form are resolved. Only pages that name either are parsed."""
+
+    def run(html: pa.Array, url: pa.Array) -> pa.Array:
+        return pa.array([alias_targets(h, u) for h, u in zip(html.to_pylist(), url.to_pylist())], pa.list_(pa.string()))
+
+    run.__annotations__ = {"html": pa.Array, "url": pa.Array, "return": pa.Array}
+    named = pages.select(F.col(html).alias("html"), F.col(url).alias("from")).where(F.col("html").rlike("(?i)canonical|refresh") & F.col("from").isNotNull())
     return (
-        pages.select(here.alias("from"), F.explode(F.array(attr(link, "href"), goes)).alias("to"))
-        .where(F.col("to") != "")
-        .select(url_node(F.col("from")).alias("src"), url_node(absolute(F.trim("to"))).alias("dst"))
+        named.select("from", F.explode(F.arrow_udf(run, "array<string>")(F.col("html"), F.col("from"))).alias("to"))
+        .select(url_node(F.col("from")).alias("src"), url_node(F.col("to")).alias("dst"))
         .where("src is not null and dst is not null and src != dst")
     )
 

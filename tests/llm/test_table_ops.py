@@ -127,6 +127,19 @@ def test_edges_from_markup(spark):
     assert sorted(tuple(r) for r in urlfilter.html_edges(pages).collect()) == [("a.org/x?y", "a.org/main"), ("b.org/", "c.org/z")]
 
 
+def test_edges_of_every_reference_form(spark):
+    page, link = "https://a.org/d/x?y", '<link rel="{1}" href="{0}">'
+    forms = [
+        (link.format("//x.net/es/1", "canonical"), "x.net/es/1"), (link.format("page2", "canonical"), "a.org/d/page2"), (link.format("../up", "canonical"), "a.org/up"), (link.format("?z=1", "canonical"), "a.org/d/x?z=1"),
+        (link.format("/n", "nofollow canonical"), "a.org/n"), (link.format("/q?a=1&amp;b=2", "canonical"), "a.org/q?a=1&b=2"), ("<meta http-equiv=\"refresh\" content=\"0; url='http://x.net/es/2'\">", "x.net/es/2"),
+        ("<meta http-equiv=refresh content=5>", None), (link.format("/no", "noncanonical"), None),
+    ]
+    for html, want in forms:
+        assert urlfilter.alias_targets(f"<html><head>{html}</head><body></body></html>", page) == ([] if want is None else ["https://" + want if want.startswith("a.org") or html.startswith("<link") else "http://" + want]), html
+    pages = spark.createDataFrame([(page, h) for h, _ in forms], "url string, html string")
+    assert sorted(r["dst"] for r in urlfilter.html_edges(pages).collect()) == sorted(w for _, w in forms if w)
+
+
 # --- chats ---
 
 TURNS = [

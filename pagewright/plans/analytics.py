@@ -67,7 +67,7 @@ def duplicate_documents(df: DataFrame, key: str = "page_id", markdown: str = "ma
 
 
 def length_histogram(df: DataFrame, length: Column, edges: list[int]) -> DataFrame:
-    """Documents by range of length: a range join against a small literal table."""
-    bins = df.sparkSession.createDataFrame([(a, b) for a, b in zip(edges, edges[1:])], "low int, high int")
+    """Documents by range of length: a range join against a small literal table; lengths from the last edge on have a null high."""
+    bins = df.sparkSession.createDataFrame([(a, b) for a, b in zip(edges, [*edges[1:], None])], "low int, high int")
     sized = df.select(length.alias("length"))
-    return sized.join(F.broadcast(bins), (F.col("length") >= F.col("low")) & (F.col("length") < F.col("high"))).groupBy("low", "high").agg(F.count("*").alias("n"))
+    return sized.join(F.broadcast(bins), (F.col("length") >= F.col("low")) & (F.col("high").isNull() | (F.col("length") < F.col("high")))).groupBy("low", "high").agg(F.count("*").alias("n"))

@@ -41,3 +41,9 @@ def test_links_to_any_page(spark, entry, tmp_path):
     got = {name: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()) for name in ("link_page_known", "link_page_unknown")}
     assert got["link_page_unknown"] == []
     assert got["link_page_known"] == [(0, "http://a.org/x/2"), (0, "http://a.org/y"), (0, "http://b.org/"), (1, "http://a.org/y"), (1, "http://b.org/"), (2, "http://a.org/x/1")]
+
+
+def test_histogram_counts_the_longest(spark, entry, tmp_path):
+    spark.createDataFrame([("x" * n,) for n in (3, 999_999, 1_000_000, 1_000_001)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in entry.queries()["length_histogram"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 500, 1), (8000, 1_000_000, 1), (1_000_000, None, 2)}

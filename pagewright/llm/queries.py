@@ -124,7 +124,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), schedule=((1.0, (3, 1, 2)),), share=1.5, repeats=2)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.orderBy("positions", "source", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = r"""

@@ -178,6 +178,11 @@ def test_native_operators_run_no_python(spark):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow")), name
 
 
+def test_mix_query_sorts_by_training_time(spark):
+    plan = queries.op9_mix_sources(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [positions" in plan and "paces" in plan
+
+
 # --- queries and the pipeline ---
 
 

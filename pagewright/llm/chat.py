@@ -8,7 +8,7 @@ can forge one, and reading back (each ``\\x`` to ``x``) is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -51,32 +51,35 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     middle mark in turns of ``loss_roles``), attachments (place from 1, turn index, kind, ref, tokens) and
     expanded_tokens. Rows go by turn; ties by role, then parts; null turns first. A null role is empty, null
     parts and unknown kinds are empty text; null conv_id is one conversation; repeated rows are repeated turns.
+    Adjoining texts are escaped as if they were one. An empty table gives no rows. Each turn is shaped on its
+    own; places and attachment numbers are running sums in turn order, so work is linear in a conversation.
     """
-    order = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))))
-    grouped = turns.groupBy("conv_id").agg(order.alias("turns"))
-    visited = grouped.select(
-        "conv_id", "turns",
-        F.flatten(F.transform("turns", lambda t, i: F.transform(F.filter(t["parts"], _attached), lambda p: F.struct(i.alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))))).alias("found"),
+    telling = lambda p: _attached(p) | (F.coalesce(p["text"], F.lit("")) != "")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), telling).alias("parts"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumns({"places": _places(F.col("parts")), "loss": F.col("role").isin(*loss_roles), "head": F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE))}).withColumns(
+        {"index": F.row_number().over(order) - 1, "before": F.coalesce(F.sum(F.size("places")).over(earlier), F.lit(0))}
     )
-    first = lambda i: F.size(F.flatten(F.transform(F.slice("turns", 1, i), lambda t: F.filter(t["parts"], _attached))))
-    bodies = F.transform(
-        "turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(F.forall(t["parts"], lambda p: ~_attached(p)), _flat_text(t["parts"])).otherwise(_flat_parts(t["parts"], first(i))).alias("body"))
+    shaped = numbered.withColumn("body", _flat_parts(F.col("parts"), F.col("places"), F.col("before")))
+    size = F.length("head") + F.length("body") + len(END)
+    visited = shaped.withColumn("at", F.coalesce(F.sum(size).over(earlier), F.lit(0))).select(
+        "conv_id", "index", F.concat("head", "body", F.lit(END)).alias("line"),
+        F.when(F.col("loss"), F.struct((F.col("at") + F.length("head")).cast("int").alias("start"), F.length("body").alias("length"))).alias("span"),
+        F.transform(
+            F.filter("parts", _attached),
+            lambda p, k: F.struct((F.col("before") + k + 1).cast("int").alias("place"), F.col("index").alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")),
+        ).alias("found"),
     )
-    marked = visited.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), "found",
-        F.transform(bodies, lambda b: F.struct(b["role"].isin(*loss_roles).alias("loss"), F.concat(F.lit(START), escape(b["role"]), F.lit(MIDDLE)).alias("head"), b["body"].alias("body"))).alias("marked"),
-    )
-    span = lambda a, m: F.struct(
-        (a["at"] + F.length(m["head"]) + F.length(m["body"]) + len(END)).alias("at"),
-        F.when(m["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(m["head"])).alias("start"), F.length(m["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    return marked.select(
+    lines = F.sort_array(F.collect_list(F.struct("index", "line", "span", "found")))
+    grouped = visited.groupBy("conv_id").agg(F.count("*").alias("n_turns"), lines.alias("lines"))
+    attachments = F.flatten(F.transform("lines", lambda t: t["found"]))
+    return grouped.select(
         "conv_id", "n_turns",
-        F.array_join(F.transform("marked", lambda m: F.concat(m["head"], m["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("marked", zero, span, lambda a: a["spans"]).alias("loss_spans"),
-        F.transform("found", lambda f, i: F.struct((i + 1).alias("place"), f["turn"].alias("turn"), f["kind"].alias("kind"), f["ref"].alias("ref"), f["tokens"].alias("tokens"))).alias("attachments"),
-        F.aggregate("found", F.lit(0).cast("long"), lambda a, f: a + f["tokens"]).alias("expanded_tokens"),
+        F.array_join(F.transform("lines", lambda t: t["line"]), "").alias("formatted"),
+        F.transform(F.filter("lines", lambda t: t["span"].isNotNull()), lambda t: t["span"]).alias("loss_spans"),
+        attachments.alias("attachments"),
+        F.aggregate(attachments, F.lit(0).cast("long"), lambda a, f: a + f["tokens"]).alias("expanded_tokens"),
     )
 
 
@@ -84,21 +87,28 @@ def _attached(part: Column) -> Column:
     return F.coalesce(part["kind"].isin("image", "audio", "document"), F.lit(False))
 
 
-def _flat_text(parts: Column) -> Column:
-    return F.array_join(F.transform(parts, lambda p: escape(p["text"])), "")
+def _places(parts: Column) -> Column:
+    """Indexes of the attachments among the parts."""
+    return F.filter(F.transform(parts, lambda p, i: F.when(_attached(p), i)), lambda i: i.isNotNull())
 
 
-def _flat_parts(parts: Column, before: Column) -> Column:
-    """Texts and numbered placeholders in order; ``before``: attachments of earlier turns."""
-    step = lambda a, p: F.struct(
-        (a["n"] + F.when(_attached(p), 1).otherwise(0)).alias("n"),
-        F.concat(a["out"], F.when(_attached(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), (a["n"] + 1).cast("string"), F.lit("|>"))).otherwise(escape(p["text"]))).alias("out"),
-    )
-    return F.aggregate(parts, F.struct(before.alias("n"), F.lit("").alias("out")), step, lambda a: a["out"])
+def _flat_parts(parts: Column, places: Column, before: Column) -> Column:
+    """Escaped texts and numbered placeholders in order; ``before``: attachments of earlier turns.
+
+    Where one text ends in ``<`` and the next begins with ``|``, the two would make a control string that
+    neither holds, so it is escaped across the seam. A placeholder ends in ``>`` and cannot do that.
+    """
+    def piece(part: Column, i: Column) -> Column:
+        last = F.get(parts, i - 1)
+        seam = F.coalesce((i > 0) & ~_attached(last) & last["text"].endswith("<") & part["text"].startswith("|"), F.lit(False))
+        placeholder = F.concat(F.lit("<|"), part["kind"], F.lit(":"), (before + F.array_position(places, i)).cast("string"), F.lit("|>"))
+        return F.when(_attached(part), placeholder).otherwise(F.concat(F.when(seam, F.lit("\\")).otherwise(F.lit("")), escape(part["text"])))
+
+    return F.array_join(F.transform(parts, piece), "")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse the template: adds turns array<struct<role, text>> and loss_text, both unescaped."""
+    """Parse the template: adds turns array<struct<role, text>> and loss_text, both unescaped; placeholders read as they stand."""
     chunks = F.filter(F.split("formatted", r"<\|im_end\|>"), lambda c: c != "")
     bare = F.transform(chunks, lambda c: c.substr(F.lit(len(START) + 1), F.length(c)))
     middle = lambda c: F.instr(c, MIDDLE)

@@ -3,8 +3,8 @@
 Each source has a piecewise-constant weight schedule over training time 0..1. Its integral says how many
 of the source's words are demanded by time t; a document copy whose cumulative place in its source is c is
 trained at the time when the demand reaches c. Cumulative places come from a two-level prefix sum: md5
-buckets are summed map-side, a window runs over the (at most 4096) bucket sums of a source, and a second
-window runs inside each bucket, so no task holds a whole source.
+buckets, whose number grows with the rows, are summed map-side, a window runs over the bucket sums of a
+source, and a second window runs inside each bucket, so no task holds a whole source.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pagewright.llm.words import word_count
 from pagewright.plans.staging import stage
 
-
 Schedule = Sequence[tuple[float, Sequence[float]]]
+#: Rows in a bucket on average, over all sources, beyond which the key's prefix grows by a digit.
+BUCKET_ROWS = 1 << 16
 
 
 def source_targets(sizes: DataFrame, schedule: Schedule, share: float, repeats: float) -> DataFrame:
@@ -71,7 +72,11 @@ def mix_sources(
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     own = [] if row is None else [F.col(row), F.xxhash64(text).alias("tie")]
-    base = stage(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), key.alias("key"), *own).withColumn("bucket", F.substring("key", 1, 3)), "mix")
+    base = stage(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), key.alias("key"), *own), "mix")
+    digits = 3
+    while base.count() > BUCKET_ROWS << 4 * digits:
+        digits += 1
+    base = base.withColumn("bucket", F.substring("key", 1, digits))
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), schedule, share, repeats)
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,10 +87,10 @@ def mix_sources(
     rows = inside.join(places, inside["source"].eqNullSafe(places["source"]) & (inside["bucket"] == places["bucket"])).drop(places["source"]).drop(places["bucket"])
     middle = lambda p: F.col("bucket_start") + F.col("inside") + F.col("size") / 2 + p * F.col("source_size")
     places_taken = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda p: middle(p) / F.col("target")), lambda c: c < 1)
-    return rows.withColumn("share_done", F.when(F.col("target") > 0, places_taken).otherwise(F.array().cast("array<double>"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.size("share_done") * F.col("size")).alias("taken"),
-        F.transform("share_done", lambda c: _invert(c, schedule)).alias("positions"), *([] if row is None else [row]),
-    )
+    done = rows.withColumn("share_done", F.when(F.col("target") > 0, places_taken).otherwise(F.array().cast("array<double>")))
+    placed = done.withColumn("positions", F.transform("share_done", lambda c: _invert(c, schedule)))
+    taken = (F.size("positions") * F.col("size")).alias("taken")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken, "positions", *([] if row is None else [row]))
 
 
 def _invert(done: Column, schedule: Schedule) -> Column:

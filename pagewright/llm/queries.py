@@ -123,7 +123,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), schedule=((1.0, (3, 1, 2)),), share=1.5, repeats=2)
+    # a curriculum whose integrals are the weights 3, 1 and 2
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), schedule=((0.5, (4, 1, 1)), (1.0, (2, 1, 3))), share=1.5, repeats=2)
     return mixed.orderBy("positions", "source", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -533,6 +533,106 @@ def test_toxicity_learns_and_scores_everything(spark):
     assert {r["doc_id"]: r["score"] for r in again} == pytest.approx({r["doc_id"]: r["score"] for r in got}, abs=1e-5)
 
 
+def fitted_net():
+    draw = np.random.default_rng(4)
+    memo = toxicity.WordHashes()
+    texts = [" ".join(draw.choice(["vile", "scum", "ok", "fine", "day", "sun", "rain,"], draw.integers(0, 25))) for _ in range(90)]
+    docs = [toxicity.hashed(memo, t) for t in texts]
+    return toxicity.ConvNet().fit(docs, np.array([int("vile" in t or "scum" in t) for t in texts]), epochs=2), docs
+
+
+def naive_score(tables, filters, bias, weight, offset, doc):
+    """Word by word and window by window, in plain Python sums."""
+    rows = [[float(v) for k, t in enumerate(tables) for v in t[(int(d) >> 16 * k) & toxicity.TABLE - 1]] for d in doc]
+    deep = toxicity.TABLES * toxicity.PART
+    rows += [[0.0] * deep] * toxicity.GAP
+    z, at = float(offset), 0
+    for w, f in zip(toxicity.WIDTHS, filters):
+        for j in range(f.shape[1]):
+            best = 0.0  # the bare gap that closes every text
+            for s in range(len(doc)):
+                best = max(best, sum(rows[s + o][c] * float(f[o * deep + c, j]) for o in range(w) for c in range(deep)))
+            z += max(best + float(bias[at]), 0.0) * float(weight[at])
+            at += 1
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_against_naive_convolution(monkeypatch):
+    net, docs = fitted_net()
+    tables, step, filters, steps = net.whole
+    assert max(np.abs(t).max() for t in tables) <= toxicity.EMBED_STEPS and toxicity.EMBED_STEPS * toxicity.FILTER_STEPS * max(toxicity.WIDTHS) * toxicity.TABLES * toxicity.PART < 1 << 24
+    for doc in [*docs[:12], np.zeros(0, np.int64)]:
+        scaled = [f * s for f, s in zip(filters, steps)]
+        assert net.scores([doc])[0] == pytest.approx(naive_score([t.astype(float) * step for t in tables], scaled, net.bias, net.weight, net.offset, doc), abs=1e-9)
+        # whole numbers lose little of what was fitted
+        assert net.scores([doc])[0] == pytest.approx(naive_score(net.tables, net.filters, net.bias, net.weight, net.offset, doc), abs=0.02)
+    want = net.scores(docs)
+    for size in (1, 7, 90):
+        assert (np.concatenate([net.scores(docs[k : k + size]) for k in range(0, 90, size)]) == want).all()
+    long = np.concatenate(docs * 3)
+    whole = net.scores([long])
+    monkeypatch.setattr(toxicity, "CHUNK", 10)
+    assert (net.scores([*docs, long]) == np.append(want, whole)).all()
+
+
+def test_gradients_against_differences():
+    net, docs = fitted_net()
+    docs, labels, share = docs[:6], np.array([0, 1, 0, 1, 1, 0]), np.array([1.0, 2.0, 1.0, 0.5, 1.0, 1.0])
+    net.tables, net.filters, net.bias, net.weight = [t.astype(float) for t in net.tables], [f.astype(float) for f in net.filters], net.bias.astype(float), net.weight.astype(float)
+
+    def loss():
+        ids, x, starts = net._embed(docs, net.tables)
+        pooled = np.concatenate([np.maximum.reduceat(net._responses(x, w, f, starts), starts, axis=0) for w, f in zip(toxicity.WIDTHS, net.filters)], axis=1) + net.bias
+        z = np.maximum(pooled, 0) @ net.weight + net.offset
+        return float((share * (np.log1p(np.exp(z)) - labels * z)).mean())
+
+    grads, total, ids, dx = net.gradients(docs, labels, share)
+    draw, e = np.random.default_rng(1), 1e-6
+
+    def slope(array, place):
+        kept = array[place]
+        array[place] = kept + e
+        up = loss()
+        array[place] = kept - e
+        down = loss()
+        array[place] = kept
+        return (up - down) / (2 * e)
+
+    for param, grad in zip([*net.filters, net.bias, net.weight], grads):
+        for _ in range(6):
+            place = tuple(int(draw.integers(0, n)) for n in param.shape)
+            assert grad[place] == pytest.approx(slope(param, place), abs=1e-6)
+    net.offset += e
+    up = loss()
+    net.offset -= 2 * e
+    assert total == pytest.approx((up - loss()) / (2 * e), abs=1e-6)
+    net.offset += e
+    for k in range(toxicity.TABLES):
+        rows = [r for r in np.unique(ids[k]) if r != toxicity.TABLE][:4]
+        for r in rows:
+            want = dx[ids[k] == r, k * toxicity.PART].sum()
+            assert want == pytest.approx(slope(net.tables[k], (r, 0)), abs=1e-6)
+
+
+def test_thresholds_against_every_cut():
+    draw = np.random.default_rng(3)
+    for n in (12, 40, 200):
+        scores, labels = draw.random(n).round(2), draw.integers(0, 2, n)
+        scores = np.unique(scores)
+        labels = labels[: len(scores)]
+        if min(labels.sum(), (1 - labels).sum()) < 5:
+            continue
+        f1 = lambda line: 2 * ((scores >= line) & (labels == 1)).sum() / ((scores >= line).sum() + labels.sum())
+        assert f1(toxicity.best_threshold(scores, labels)) == pytest.approx(max(f1(s) for s in scores))
+    assert toxicity.best_threshold(np.array([0.9, 0.1]), np.array([1, 0])) == 0.5
+
+
+def test_toxicity_of_an_empty_table(spark):
+    model = toxicity.ToxicityModel(toxicity.ConvNet(), {})
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert toxicity.score_documents(none, model).count() == 0 and toxicity.drop_flagged(none, model).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
     model = toxicity.ToxicityModel.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))

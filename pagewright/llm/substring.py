@@ -2,11 +2,13 @@
 
 A window of ``window`` words is addressed by its anchor, the smallest hash among its k-word grams: equal
 windows have equal anchors, so they meet in one shard. Runs of windows with one anchor are segments. Only
-segments whose anchor lies in documents of different ids go on; equal segments are one class with its
-smallest id. A shard indexes the words of its classes in an FM-index, and each class is streamed against it:
-backward search gives the matching statistics, and every window long enough learns the smallest id that
-holds it. Anchors shared by very many different segments (the rims of a popular passage) are split: there
-each window is its own anchor, so copies collapse before anything meets.
+segments whose anchor lies in documents of different ids go on. Segments of the same words are one class: they
+are addressed by 128 bits of hashes, and a class whose words turn out to differ stops the job. A shard indexes
+the words of its classes in an FM-index, and each class is streamed against it: backward search gives the
+matching statistics, and every window learns the smallest id that the index knows to hold it. A member of the
+class loses the windows whose smallest id is below its own. Anchors shared by very many different segments
+(the rims of a popular passage) are split: there each window is its own anchor, so copies collapse before
+anything meets. Anchors and classes that very many documents hold are joined where their rows lie.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.fmindex import DEEP, FMIndex
+from pagewright.llm.skew import join_counted
 from pagewright.llm.words import words_of
 from pagewright.plans.staging import stage
 
@@ -124,23 +127,21 @@ def _signed(value: int) -> int:
 
 
 def search_shard(pieces: list[bytes], keys: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each text, the windows (first, past the last, ...) that a text of smaller key holds too."""
+    """For each text, runs (first window, past the last, smallest key, ...) of windows with the smallest key among the texts that hold them."""
     ids: dict[bytes, int] = {}
     texts = [np.array([ids.setdefault(w, len(ids) + 1) for w in p.split()], np.int64) for p in pieces]
     index = FMIndex(texts)
     least = index.least_by_prefix(keys, window)
     text, pos, place = index.matching_statistics(texts, window)
-    earlier = least[place] < keys[text]
-    text, pos = text[earlier], pos[earlier]
     order = np.lexsort((pos, text))
-    text, pos = text[order], pos[order]
+    text, pos, low = text[order], pos[order], least[place[order]]
     cuts = np.searchsorted(text, np.arange(len(texts) + 1))
     out = []
     for s, e in zip(cuts, cuts[1:]):
-        p = pos[s:e]
-        opens = np.flatnonzero(np.concatenate([[True], np.diff(p) != 1])) if len(p) else np.zeros(0, int)
+        p, k = pos[s:e], low[s:e]
+        opens = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(k) != 0)])) if len(p) else np.zeros(0, int)
         closes = np.append(opens[1:], len(p)) - 1
-        out.append(np.column_stack([p[opens], p[closes] + 1]).ravel().astype(np.int32) if len(p) else np.zeros(0, np.int32))
+        out.append(np.column_stack([p[opens], p[closes] + 1, k[opens]]).ravel() if len(p) else np.zeros(0, np.int64))
     return out
 
 
@@ -151,8 +152,8 @@ def _shard_pass(window: int):
         def search(table: pa.Table) -> pa.RecordBatch:
             keys = table.column("first_key").to_numpy()
             hits = search_shard(table.column("words").to_pylist(), keys, window)
-            kept = [table.column(n).combine_chunks() for n in ("anchor", "content", "first_key")]
-            return pa.RecordBatch.from_arrays([*kept, pa.array([h.tolist() for h in hits], pa.list_(pa.int32()))], ["anchor", "content", "first_key", "hits"])
+            kept = [table.column(n).combine_chunks() for n in ("anchor", "content", "last_key", "members")]
+            return pa.RecordBatch.from_arrays([*kept, pa.array([h.tolist() for h in hits], pa.list_(pa.int64()))], ["anchor", "content", "last_key", "members", "hits"])
 
         for batch in batches:
             shards = batch.column("shard").to_numpy()
@@ -206,11 +207,11 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
     if not GRAM <= window <= DEEP:
         raise ValueError(f"window must lie between {GRAM} and {DEEP}")
     every = stage(docs.mapInArrow(_first_pass(window), "doc_id long, key long, hash long, n_words long, kept_sha256 string, anchors array<long>"), "anchors")
-    places = every.select("key", F.explode("anchors").alias("anchor"))
-    shared = places.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor")
-    wanted = stage(places.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "wanted")
+    places = every.select("key", "hash", F.explode("anchors").alias("anchor"))
+    shared = places.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n")
+    wanted = stage(join_counted(places, stage(shared, "shared"), ["anchor"], "n").groupBy("key", "hash").agg(F.collect_set("anchor").alias("anchors")), "wanted")
 
-    met = stage(docs.join(wanted, "key").select("doc_id", "key", "hash", "text", "anchors"), "met")
+    met = stage(docs.join(wanted, ["key", "hash"]).select("doc_id", "key", "hash", "text", "anchors"), "met")
     found = stage(met.mapInArrow(_second_pass(window), "key long, hash long, anchor long, content long, start int, n int, words binary"), "segments")
     crowded = found.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("*").alias("classes")).where(F.col("classes") > CROWD).select("anchor")
     crowded = stage(crowded, "crowded")
@@ -218,24 +219,24 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
     piece = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("start"), F.array_join(F.slice(split, i + 1, window), " ").cast("binary").alias("words")))
     alone = (
         found.join(crowded, "anchor").select("key", "hash", F.explode(piece).alias("w"))
-        .select("key", "hash", F.xxhash64("w.words").alias("anchor"), F.hash("w.words").cast("long").alias("content"), "w.start", F.lit(1).alias("n"), "w.words")
+        .select("key", "hash", F.xxhash64("w.words").alias("anchor"), F.xxhash64(F.lit(1), "w.words").alias("content"), "w.start", F.lit(1).alias("n"), "w.words")
     )
     members = found.join(crowded, "anchor", "left_anti").select("key", "hash", "anchor", "content", "start", "n", "words").unionByName(alone)
 
-    classes = members.groupBy("anchor", "content").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.first("words").alias("words"))
-    classes = stage(classes, "classes")
+    classes = members.groupBy("anchor", "content").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("members"), F.min("words").alias("words"), F.max("words").alias("others"))
+    alike = F.when(F.col("words") == F.col("others"), F.col("words")).otherwise(F.raise_error(F.lit("segments of one class hold different words")).cast("binary"))
+    classes = stage(classes.withColumn("words", alike).drop("others"), "classes")
     shards = max(1, -(-classes.count() // SHARD))
     sharded = classes.withColumn("shard", F.pmod("anchor", F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "first_key")
-    searched = sharded.select("shard", "anchor", "content", "first_key", "words").mapInArrow(_shard_pass(window), "anchor long, content long, first_key long, hits array<int>")
-    told = stage(searched, "searched").join(classes.select("anchor", "content", "last_key"), ["anchor", "content"]).where("size(hits) > 0 or last_key > first_key")
+    searched = sharded.select("shard", "anchor", "content", "first_key", "last_key", "members", "words").mapInArrow(_shard_pass(window), "anchor long, content long, last_key long, members long, hits array<long>")
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size("hits") / 3).cast("int") - 1), lambda i: F.struct(F.col("hits")[3 * i].cast("int").alias("s"), F.col("hits")[3 * i + 1].cast("int").alias("e"), F.col("hits")[3 * i + 2].alias("low")))
+    lost = F.when(F.size("hits") > 0, F.filter(runs, lambda r: r["low"] < F.col("last_key")))
+    told = stage(searched.select("anchor", "content", "members", lost.alias("runs")).where(F.size("runs") > 0), "searched")
 
-    span = F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
-    own = F.transform(F.sequence(F.lit(0), F.floor(F.size("hits") / 2).cast("int") - 1), lambda i: F.struct((F.col("start") + F.col("hits")[2 * i]).alias("s"), (F.col("start") + F.col("hits")[2 * i + 1]).alias("e")))
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    spans = F.when(F.col("key") > F.col("first_key"), F.array(span)).when(F.size("hits") > 0, own).otherwise(none)
+    own = F.transform(F.filter("runs", lambda r: r["low"] < F.col("key")), lambda r: F.struct((F.col("start") + r["s"]).alias("s"), (F.col("start") + r["e"]).alias("e")))
     gone = (
-        members.select("key", "hash", "anchor", "content", "start", "n").join(told.drop("last_key"), ["anchor", "content"])
-        .select("key", "hash", F.explode(spans).alias("span")).groupBy("key", "hash").agg(F.collect_list("span").alias("spans"))
+        join_counted(members.select("key", "hash", "anchor", "content", "start"), told, ["anchor", "content"], "members")
+        .select("key", "hash", F.explode(own).alias("span")).groupBy("key", "hash").agg(F.collect_set("span").alias("spans"))
     )
     return every, met, stage(gone, "gone")
 
@@ -245,8 +246,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
 
     A word goes if some window of ``window`` words that covers it also occurs in a document of smaller id;
     windows are judged on the input. Repeats inside a document, and between rows of equal id, stay. A null id
-    comes after all others; null, empty and short texts lose nothing. ``window`` from 16 to 63. Rows that
-    repeat id and text are judged alike. Other columns are ignored. An empty table gives no rows.
+    comes after all others, and rows without id are no repeats of each other; null, empty and short texts lose
+    nothing. ``window`` from 16 to 63. Rows that repeat id and text are judged alike. Other columns are ignored.
+    An empty table gives no rows.
     """
     rows = _keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     every, met, gone = repeated_spans(rows, window)

@@ -37,11 +37,18 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a staged table that no later plan reads."""
     path = getattr(df, "_staged_path", None)
     if path is None:
         return
-    sc = df.sparkSession.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    if name := getattr(df, "_staged_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS `{name}`")
+    remove(df.sparkSession, path)

@@ -109,55 +109,74 @@ class NgramLevel:
     """One trie level: contexts, pointers to their children, children as context-relative ids, probability codes.
 
     A child is stored as (rank of its context) * universe + word, which makes the whole level one monotone
-    sequence; looking up a word below a context is a successor search from the context's own base.
+    sequence; looking up a word below a context is a successor search from the context's own base. A context
+    is the place of a node in the level above, and carries the code of its back-off weight.
     """
 
-    MAGIC = b"EFT1"
+    MAGIC = b"EFT2"
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, children: EliasFano, codes: np.ndarray, universe: int):
-        self.contexts, self.pointers, self.children, self.codes, self.universe = contexts, pointers, children, codes, universe
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, children: EliasFano, codes: np.ndarray, weights: np.ndarray, universe: int):
+        self.contexts, self.pointers, self.children, self.codes, self.weights, self.universe = contexts, pointers, children, codes, weights, universe
 
     @classmethod
-    def build(cls, context: np.ndarray, word: np.ndarray, log10p: np.ndarray) -> NgramLevel:
-        """From n-grams sorted by (context, word), without repeats."""
+    def build(cls, context: np.ndarray, word: np.ndarray, log10p: np.ndarray, log10w: np.ndarray | None = None) -> NgramLevel:
+        """From n-grams sorted by (context, word), without repeats; ``log10w``: by distinct context."""
         own, first = np.unique(context, return_index=True)
         universe = int(word.max()) + 1 if len(word) else 1
         rank = np.repeat(np.arange(len(own)), np.diff(np.append(first, len(context))))
         return cls(
             EliasFano.build(own, int(own.max()) + 1 if len(own) else 1), EliasFano.build(np.append(first, len(context)), len(context) + 1),
-            EliasFano.build(rank * universe + word, max(1, len(own)) * universe), quantise(log10p), universe,
+            EliasFano.build(rank * universe + word, max(1, len(own)) * universe), quantise(log10p), np.zeros(0, np.uint16) if log10w is None else quantise(log10w), universe,
         )
 
     def span(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the children of the rank-th contexts begin and end, by the pointers."""
         return self.pointers.get(rank), self.pointers.get(rank + 1)
 
+    def ranks(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, rank) of contexts; rank is 0 where the level lacks one."""
+        known, rank = np.zeros(len(context), bool), np.zeros(len(context), np.int64)
+        ask = (context >= 0) & (context < self.contexts.universe) & (self.contexts.n > 0)
+        if ask.any():
+            rank[ask], known[ask] = self.contexts.find(context[ask])
+        rank[~known] = 0
+        return known, rank
+
     def followers(self, context: np.ndarray) -> np.ndarray:
         """How many children each context has; 0 for one that the level lacks."""
+        known, rank = self.ranks(context)
         out = np.zeros(len(context), np.int64)
-        ask = (context < self.contexts.universe) & (self.contexts.n > 0)
-        if ask.any():
-            rank, known = self.contexts.find(context[ask])
-            first, last = self.span(np.where(known, rank, 0))
-            out[ask] = np.where(known, last - first, 0)
+        if known.any():
+            first, last = self.span(rank[known])
+            out[known] = last - first
         return out
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, place, code) of each n-gram; place and code are 0 where it is not found."""
-        found, place = np.zeros(len(context), bool), np.zeros(len(context), np.int64)
-        ask = (context < self.contexts.universe) & (word < self.universe) & (self.contexts.n > 0)
+        found, place, code, _ = self.below(context, np.arange(len(context)), word)
+        return found, place, code
+
+    def below(self, context: np.ndarray, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(found, place, code) of each word below the context that owns it, and the weight code of each context (0: none).
+
+        Each context is sought, and its span read through the pointers, once.
+        """
+        found, place = np.zeros(len(word), bool), np.zeros(len(word), np.int64)
+        known, rank = self.ranks(context)
+        weight = np.where(known, self.weights[rank], 0) if len(self.weights) else np.zeros(len(context), np.uint16)
+        ask = known[owner] & (word >= 0) & (word < self.universe)
         if ask.any():
-            rank, known = self.contexts.find(context[ask])
-            rank = np.where(known, rank, 0)
-            at, same = self.children.find(rank * self.universe + word[ask], *self.span(rank))
-            found[ask], place[ask] = known & same, at
+            first, last = self.span(rank)
+            own = owner[ask]
+            at, same = self.children.find(rank[own] * self.universe + word[ask], first[own], last[own])
+            found[ask], place[ask] = same, at
         place[~found] = 0
-        return found, place, np.where(found, self.codes[place] if len(self.codes) else 0, 0)
+        return found, place, np.where(found, self.codes[place] if len(self.codes) else 0, 0), weight
 
     def image(self) -> bytes:
-        parts = [a for ef in (self.contexts, self.pointers, self.children) for a in ef.arrays()] + [self.codes]
+        parts = [a for ef in (self.contexts, self.pointers, self.children) for a in ef.arrays()] + [self.codes, self.weights]
         sizes = [v for ef in (self.contexts, self.pointers, self.children) for v in (ef.n, ef.universe)] + [self.universe]
-        head = self.MAGIC + struct.pack("<4x7Q10Q", *sizes, *[len(p) for p in parts])
+        head = self.MAGIC + struct.pack("<4x7Q11Q", *sizes, *[len(p) for p in parts])
         return head + b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts)
 
     @classmethod
@@ -165,14 +184,14 @@ class NgramLevel:
         """Over any buffer that holds an image; nothing is copied."""
         if bytes(image[:4]) != cls.MAGIC:
             raise ValueError("not an n-gram level")
-        values = struct.unpack_from("<7Q10Q", image, 8)
-        at, arrays = 8 + 8 * 17, []
+        values = struct.unpack_from("<7Q11Q", image, 8)
+        at, arrays = 8 + 8 * 18, []
         for k, n in enumerate(values[7:]):
-            kind = np.uint16 if k == 9 else (np.uint64, np.uint64, np.uint32)[k % 3]
+            kind = np.uint16 if k > 8 else (np.uint64, np.uint64, np.uint32)[k % 3]
             arrays.append(np.frombuffer(image, kind, n, at))
             at += arrays[-1].nbytes + -arrays[-1].nbytes % 8
         fano = [EliasFano(values[2 * k], values[2 * k + 1], *arrays[3 * k : 3 * k + 3]) for k in range(3)]
-        return cls(*fano, arrays[9], values[6])
+        return cls(*fano, arrays[9], arrays[10], values[6])
 
     @classmethod
     def mapped(cls, image: bytes) -> NgramLevel:
@@ -185,3 +204,47 @@ class NgramLevel:
     def open(cls, path: str) -> NgramLevel:
         """From a file written with ``image()``, paged in as it is read."""
         return cls.map(memoryview(np.memmap(path, np.uint8, "r")))
+
+
+class NgramTrie:
+    """The levels of a trie, words first: all words are children of the one context 0 of the first level."""
+
+    MAGIC = b"EFTR"
+
+    def __init__(self, levels: list[NgramLevel]):
+        self.levels = levels
+
+    def walk(self, nodes: list[np.ndarray], owners: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Descend together along a query trie: (codes by level, back-off weights by level but the last).
+
+        nodes: the words of the query's nodes by level; owners: for the levels below the first, the place of
+        each node's parent in the level above.
+        """
+        codes, weights, context = [], [], np.zeros(1, np.int64)
+        for k, (level, words) in enumerate(zip(self.levels, nodes)):
+            found, place, code, weight = level.below(context, owners[k - 1] if k else np.zeros(len(words), np.int64), words)
+            codes.append(code)
+            if k:
+                weights.append(weight)
+            context = np.where(found, place, -1)
+        return codes, weights
+
+    def image(self) -> bytes:
+        parts = [level.image() for level in self.levels]
+        return self.MAGIC + struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
+
+    @classmethod
+    def map(cls, image) -> NgramTrie:
+        if bytes(image[:4]) != cls.MAGIC:
+            raise ValueError("not an n-gram trie")
+        count = struct.unpack_from("<I", image, 4)[0]
+        at, levels = 8 + 8 * count, []
+        for size in struct.unpack_from(f"<{count}Q", image, 8):
+            levels.append(NgramLevel.map(image[at : at + size]))
+            at += size
+        return cls(levels)
+
+    @classmethod
+    def open(cls, path: str) -> NgramTrie:
+        """From a file written with ``image()``, paged in as it is read."""
+        return cls.map(memoryview(np.memmap(path, np.uint8, "r")))

@@ -333,6 +333,52 @@ def test_bigram_scores_against_plain_counts(docs, rows, monkeypatch, hot):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize(("order", "hot"), [(3, 1 << 19), (3, 30), (4, 200)])
+def test_higher_orders_against_plain_counts(docs, rows, monkeypatch, order, hot):
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "SHARD", 900)
+    monkeypatch.setattr(lm, "MESSAGE", 1)
+    monkeypatch.setattr(lm, "HELD", 500)
+    got = lm.score_corpus(docs, toxicity.fold(F.col("doc_id"), 7) != 2, order=order, block_tokens=800).collect()
+    marks = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, *_ in rows]
+    want = collections.defaultdict(list)
+    for (i, *_), m, x in zip(rows, marks, brute_lm(rows, marks, order)):
+        want[i, not m].append(x)
+    for r in got:
+        options = want[r["doc_id"], r["held_out"]]
+        assert any((r["n_tokens"], r["n_known"], r["train_tokens"]) == x[:3] and abs(r["base_score"] - x[3]) < 1e-6 * x[0] and abs(r["score"] - x[4]) < 1e-3 * x[0] for x in options)
+    assert len(got) == len(rows)
+
+
+def test_model_files_answer_by_themselves(spark, tmp_path):
+    """The shards' files, mapped anew, give the probabilities that plain counts give; staged tables are gone."""
+    texts = ["a b a c", "a b", "b c c a b a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    lm.score_corpus(df, F.lit(True), order=3, model=str(tmp_path)).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    (path,) = tmp_path.iterdir()
+    trie = lm.open_shard(str(tmp_path), int(path.stem))
+    lines = [["", *t.split(), ""] for t in texts]
+    count = collections.Counter(w for line in lines for w in line[1:])
+    names = {w: k + 2 for k, w in enumerate(sorted(count, key=lambda w: (-count[w], xxhash.xxh64_intdigest(w.encode()))))}
+    grams = [collections.Counter(tuple(line[i : i + k]) for line in lines for i in range(len(line) - k + 1)) for k in (2, 3)]
+    total = sum(count.values()) + len(count) + 1
+    codes, _ = trie.walk([np.array([names[w] for w in count])], [])
+    assert dequantise(codes[0]) == pytest.approx([math.log10((count[w] + 1) / total) for w in count], abs=3e-4)
+    for g, n in grams[1].items():
+        u, v, w = g
+        codes, weights = trie.walk([np.array([names[x]]) for x in g], [np.zeros(1, int)] * 2)
+        follow = [x for x in grams[1] if x[:2] == (u, v)]
+        own = sum(grams[1][x] for x in follow)
+        assert dequantise(codes[2])[0] == pytest.approx(math.log10((n - 0.75) / own), abs=3e-4)
+        assert dequantise(weights[1])[0] == pytest.approx(math.log10(0.75 * len(follow) / own), abs=3e-4)
+        low = [x for x in grams[0] if x[0] == u]
+        assert dequantise(weights[0])[0] == pytest.approx(math.log10(0.75 * len(low) / sum(grams[0][x] for x in low)), abs=3e-4)
+        assert dequantise(codes[1])[0] == pytest.approx(math.log10((grams[0][u, v] - 0.75) / sum(grams[0][x] for x in low)), abs=3e-4)
+    assert trie.walk([np.array([names["c"]]), np.array([names["c"]]), np.array([names["c"]])], [np.zeros(1, int)] * 2)[0][2][0] == 0
+
+
 def test_model_is_a_distribution(spark):
     """Probabilities over the known words, the end and one unknown word sum to one, less the rounding."""
     texts = ["a b a c", "a b", "b c c a"]

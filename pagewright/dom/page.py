@@ -1,4 +1,8 @@
-"""One page: metadata, cleaning, URL resolution, links, images and Markdown from a single parse."""
+"""One page: metadata, cleaning, URL resolution, links, images and Markdown.
+
+A page is parsed once; a body that holds a link, a table or pre is written out and parsed a second time, as
+its tree may not survive that unchanged.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +42,9 @@ CHROME = (
 )
 
 _FULL, _MAIN, _CONTENT = Union(CHROME), Union(CHROME + MAIN_CHROME), Union(NOT_CONTENT)
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Characters of Unicode White_Space.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = re.compile(f"[{SPACES}]+")
 
 
 def fields(text: str) -> str:
@@ -46,7 +52,7 @@ def fields(text: str) -> str:
 
 
 def trim(text: str) -> str:
-    return text[m.end() :] if (m := _SPACE.match(text)) and m.end() == len(text) else re.sub(rf"\A{_SPACE.pattern}|{_SPACE.pattern}\Z", "", text)
+    return text.strip(SPACES)
 
 
 def metadata(document: Node) -> dict[str, str]:
@@ -116,10 +122,8 @@ def clean(document: Node, only_main: bool, include: Sequence[str] = (), exclude:
         document = _rehomed([root])
     remove_all(document, _CONTENT)
     for s in exclude:
-        if s.strip():
-            for n in find_all(document, s.strip()):
-                if n.parent is not None:
-                    n.detach()
+        if s.strip() and (gone := {id(n) for n in find_all(document, s.strip())}):
+            document.prune(lambda n: id(n) in gone)
     remove_all(document, _MAIN if only_main else _FULL)
     return _body_of(document)
 
@@ -144,7 +148,7 @@ def references(body: Node, tags: tuple[str, ...], attribute: str) -> list[str]:
 
 
 def convert_page(html: str, url: str, only_main: bool, include: Sequence[str] = (), exclude: Sequence[str] = (), config: MarkdownConfig | None = None, honor_head_base: bool = False) -> dict:
-    """Everything the kernel emits for one page, from one parse."""
+    """Everything the kernel emits for one page."""
     document = parse(html)
     out: dict = metadata(document)
     head_base = None

@@ -194,14 +194,7 @@ def find_all(root: Node, selector: str) -> list[Node]:
 
 def remove_all(root: Node, matches: Matcher) -> None:
     """Detach every descendant that matches; nothing below a detached one is visited."""
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        for c in [c for c in node.children if isinstance(c, Node) and c.tag[0] not in "#!"]:
-            if matches(c):
-                c.detach()
-            else:
-                stack.append(c)
+    root.prune(matches)
 
 
 class Union:

@@ -1,14 +1,18 @@
-"""HTML tree construction: a subset of the HTML standard's algorithm over the standard library's tokenizer.
+"""HTML tree construction: a subset of the HTML standard's algorithm.
 
 Covered: implied head/body, implied end tags, scopes, the list of active formatting elements with
 reconstruction (at most three alike), a simplified adoption agency, table structure with foster parenting,
-raw text. Any input gives a tree.
+raw text. Any input gives a tree, in time linear in its length: elements nested more than ``DEPTH`` deep become
+siblings at that depth, and at most ``ACTIVE`` formatting elements wait to be opened again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable, Iterator
+
+from pagewright.dom.tokens import RAW_TEXT, tokenize
+
+DEPTH, ACTIVE = 128, 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_ONLY = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
@@ -20,8 +24,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPECIAL = CLOSES_P | HEADINGS | frozenset("body html head li dd dt td th tr tbody thead tfoot caption colgroup button select textarea template applet marquee object iframe title style script".split())
 SCOPE_END = frozenset("applet caption html table td th marquee object template".split())
 IMPLIED_END = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
+#: Elements that formatting does not cross: a marker in the list of active formatting stands for each.
+MARKED = frozenset("td th caption applet object marquee template".split())
 TABLE_PARTS = frozenset("table tbody tfoot thead tr".split())
-RAW = frozenset("script style xmp iframe noembed noframes".split())
+RAW = RAW_TEXT | {"plaintext"}
 
 
 class Node:
@@ -43,41 +49,65 @@ class Node:
     def detach(self) -> None:
         if self.parent is not None:
             kin = self.parent.children
-            at = next(i for i, c in enumerate(kin) if c is self)
+            at = self.parent._place(self)
             del kin[at]
             if 0 < at < len(kin) and isinstance(kin[at - 1], str) and isinstance(kin[at], str):
                 kin[at - 1] += kin.pop(at)
             self.parent = None
 
+    def _place(self, mark: Node) -> int:
+        """Of a child; the last ones are looked at first."""
+        return next(i for i in range(len(self.children) - 1, -1, -1) if self.children[i] is mark)
+
     def insert_before(self, child: Node | str, mark: Node) -> None:
-        at = next(i for i, c in enumerate(self.children) if c is mark)
+        at = self._place(mark)
         if isinstance(child, str):
             if at and isinstance(self.children[at - 1], str):
                 self.children[at - 1] += child
                 return
         else:
             child.detach()
-            at = next(i for i, c in enumerate(self.children) if c is mark)
+            at = self._place(mark)
             child.parent = self
         self.children.insert(at, child)
 
+    def prune(self, matches: Callable[[Node], bool]) -> None:
+        """Detach every descendant element that matches; nothing below one is visited. Each child list is rebuilt once."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            kept: list[Node | str] = []
+            for c in node.children:
+                if isinstance(c, str):
+                    if kept and isinstance(kept[-1], str):
+                        kept[-1] += c
+                        continue
+                elif c.tag[0] not in "#!":
+                    if matches(c):
+                        c.parent = None
+                        continue
+                    stack.append(c)
+                kept.append(c)
+            node.children = kept
+
     def elements(self) -> Iterator[Node]:
         """Descendant elements in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
+        stack = self.children[::-1]
         while stack:
             node = stack.pop()
-            if node.tag[0] not in "#!":
-                yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            if node.__class__ is Node:
+                if node.tag[0] not in "#!":
+                    yield node
+                stack += node.children[::-1]
 
     def text(self) -> str:
-        out, stack = [], list(reversed(self.children))
+        out, stack = [], self.children[::-1]
         while stack:
             c = stack.pop()
-            if isinstance(c, str):
+            if c.__class__ is str:
                 out.append(c)
             elif c.tag[0] not in "#!":
-                stack.extend(reversed(c.children))
+                stack += c.children[::-1]
         return "".join(out)
 
     def copy(self) -> Node:
@@ -99,9 +129,10 @@ class Node:
         return next((e for e in self.elements() if e.tag == tag), None)
 
 
-class TreeBuilder(HTMLParser):
+class TreeBuilder:
+    """Takes the tokens; ``document`` is the tree."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.document = Node("#document")
         self.html: Node | None = None
         self.head: Node | None = None
@@ -144,6 +175,12 @@ class TreeBuilder(HTMLParser):
         top.append(node)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> Node:
+        if len(self.open) >= DEPTH:
+            top = self.open.pop()
+            if top.tag in MARKED:
+                self._forget_to_marker()
+            elif top.tag in FORMATTING and top in self.active:
+                self.active.remove(top)
         node = Node(tag, attrs)
         self._insert(node)
         self.open.append(node)
@@ -190,6 +227,8 @@ class TreeBuilder(HTMLParser):
                 alike.append(k)
         if len(alike) >= 3:
             del self.active[alike[-1]]
+        elif len(self.active) >= ACTIVE and None not in self.active[-ACTIVE:]:
+            del self.active[-ACTIVE]
         self.active.append(node)
 
     def _forget_to_marker(self) -> None:
@@ -254,10 +293,7 @@ class TreeBuilder(HTMLParser):
 
     # tokens
 
-    def handle_starttag(self, tag: str, pairs: list[tuple[str, str | None]]) -> None:
-        attrs: dict[str, str] = {}
-        for k, v in pairs:
-            attrs.setdefault(k, v or "")
+    def handle_starttag(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "html":
             self._root()
             for k, v in attrs.items():
@@ -331,7 +367,7 @@ class TreeBuilder(HTMLParser):
             self._reconstruct()
             self._remember(self._push(tag, attrs))
             return
-        if tag in ("td", "th", "caption", "applet", "object", "marquee", "template"):
+        if tag in MARKED:
             self._push(tag, attrs)
             self.active.append(None)
             return
@@ -386,7 +422,7 @@ class TreeBuilder(HTMLParser):
             if node is not None:
                 self._imply_ends()
                 self._pop_to(node)
-        elif tag in ("td", "th", "caption", "applet", "object", "marquee", "template"):
+        elif tag in MARKED:
             node = next((n for n in reversed(self.open) if n.tag == tag), None)
             if node is not None:
                 self._pop_to(node)
@@ -406,9 +442,6 @@ class TreeBuilder(HTMLParser):
         else:
             self._close_any(tag)
 
-    def handle_startendtag(self, tag: str, pairs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, pairs)
-
     def handle_data(self, data: str) -> None:
         data = data.replace("\x00", "")
         if not data:
@@ -436,21 +469,14 @@ class TreeBuilder(HTMLParser):
         node = Node("#comment", {"": data})
         (self.open[-1] if self.open else self.document).append(node)
 
-    def handle_decl(self, decl: str) -> None:
-        if decl.lower().startswith("doctype") and self.html is None:
-            self.document.append(Node("!doctype", {"": decl[7:].strip()}))
-
-    def unknown_decl(self, data: str) -> None:
-        self.handle_comment(data)
-
-    def handle_pi(self, data: str) -> None:
-        self.handle_comment("?" + data)
+    def handle_doctype(self, data: str) -> None:
+        if self.html is None:
+            self.document.append(Node("!doctype", {"": data}))
 
 
 def parse(html: str) -> Node:
     builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
+    tokenize(html, builder)
     builder._start_body()
     return builder.document
 
@@ -464,8 +490,11 @@ def escape(text: str) -> str:
 
 def outer_html(node: Node | str, raw: bool = False) -> str:
     """Serialised markup; iterative, so deep trees are fine."""
+    return _markup([(node, False, raw)])
+
+
+def _markup(stack: list[tuple[Node | str, bool, bool]]) -> str:
     out: list[str] = []
-    stack: list[tuple[Node | str, bool, bool]] = [(node, False, raw)]
     while stack:
         x, closing, in_raw = stack.pop()
         if isinstance(x, str):
@@ -486,10 +515,10 @@ def outer_html(node: Node | str, raw: bool = False) -> str:
                 if x.tag in ("pre", "listing", "textarea") and x.children and isinstance(x.children[0], str) and x.children[0][:1] == "\n":
                     out.append("\n")
                 stack.append((x, True, False))
-            inside = x.tag in RAW or x.tag in ("noscript", "plaintext")
+            inside = x.tag in RAW
             stack.extend((c, False, inside) for c in reversed(x.children))
     return "".join(out)
 
 
 def inner_html(node: Node) -> str:
-    return "".join(outer_html(c, node.tag in RAW) for c in node.children)
+    return _markup([(c, False, node.tag in RAW) for c in reversed(node.children)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import trim_space
 from pagewright.operators.kernel import page_kernel, row_kernel
-from pagewright.operators.lines import after_hooks
+from pagewright.operators.lines import hook_steps
 from pagewright.operators.postprocess import postprocess
 from pagewright.operators.quality import needs_fallback, quality
 from pagewright.options import ConvertOptions
@@ -35,18 +35,24 @@ def distinct_references(values: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
 
 
-def finish_markdown(raw: Column, options: ConvertOptions) -> Column:
-    md = after_hooks(raw)
-    for _, hook in options.after_hooks:
-        md = hook(md)
-    return postprocess(md)
+class Finish:
+    """Markdown after the built-in hooks, the caller's, and post-processing: a column at a time, built once for any number of passes."""
+
+    def __init__(self, raw: str, out: str, options: ConvertOptions):
+        self.out = out
+        self.steps = [*hook_steps(F.col(raw), out), *(hook(F.col(out)) for _, hook in options.after_hooks), postprocess(F.col(out))]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = df.withColumn(self.out, step)
+        return df
 
 
 class _Pass:
     """One kernel pass. The native expressions are built once and serve both passes under the same names."""
 
     def __init__(self, options: ConvertOptions):
-        self.markdown = finish_markdown(F.col("_raw"), options)
+        self.finish = Finish("_raw", "_md", options)
         self.scored = quality(F.col("_md"), F.col("_title"), F.size("_links"), F.size("_images"), F.col("_used"), F.col("_fell"))
 
     def __call__(self, df: DataFrame, kernel: Column, used_main: Column, fallback: bool) -> DataFrame:
@@ -55,7 +61,7 @@ class _Pass:
         df = df.withColumn("_kernel", kernel).withColumns(
             {"_raw": k["md_raw"], "_title": k["title"], "_links": distinct_references(k["links"]), "_images": distinct_references(k["images"]), "_used": used_main, "_fell": F.lit(fallback)}
         )
-        return df.withColumn("_md", self.markdown).withColumn("_quality", F.when(k.isNotNull(), self.scored))
+        return self.finish(df).withColumn("_quality", F.when(k.isNotNull() & k["error"].isNull(), self.scored))
 
 
 PARTS = ("_kernel", "_md", "_links", "_images", "_quality")
@@ -66,8 +72,8 @@ def convert_pages(pages: DataFrame, options: ConvertOptions | None = None) -> Da
 
     ``pages`` has html and, as it likes, url, final_url and content_type (ignored). If it has a column
     ``options`` (struct only_main_content, include_selectors, exclude_selectors), that decides by row. Blank
-    or null html gives empty outputs and error 'html is required' (or fails the query, if strict); no output
-    is null but error.
+    or null html gives empty outputs and error 'html is required', a page whose conversion raises empty outputs
+    and the exception's message (or either fails the query, if strict); no output is null but error.
     """
     options = options or ConvertOptions()
     by_row = "options" in pages.columns
@@ -106,6 +112,10 @@ def convert_pages(pages: DataFrame, options: ConvertOptions | None = None) -> Da
         *[F.lit(0).alias(n) for n in ("text_length", "paragraph_count", "link_count", "image_count")], F.lit(False).alias("title_present"), F.lit(0.0).alias("link_density"),
         F.lit(0.0).alias("quality_score"), F.col("_only").alias("used_main_content"), F.lit(False).alias("fallback_used"),
     )
+    # a main pass that failed has no quality, so it is never weak and no second pass hides it
+    failed = pick("kernel")["error"]
+    if options.strict:
+        failed = F.when(failed.isNotNull(), F.raise_error(failed).cast("string"))
     return df.select(
         *kept,
         F.coalesce(pick("md"), F.lit("")).alias("markdown"),
@@ -114,7 +124,7 @@ def convert_pages(pages: DataFrame, options: ConvertOptions | None = None) -> Da
         pick("links").alias("links"),
         pick("images").alias("images"),
         F.coalesce(pick("quality"), empty).alias("quality"),
-        F.when(F.col("_html").isNull(), F.lit(ERROR_BLANK)).alias("error"),
+        F.when(F.col("_html").isNull(), F.lit(ERROR_BLANK)).otherwise(failed).alias("error"),
     )
 
 
@@ -123,4 +133,5 @@ def to_markdown(pages: DataFrame, options: ConvertOptions | None = None) -> Data
     options = options or ConvertOptions()
     kept = [c for c in pages.columns if c not in ("html", "markdown")]
     df = pages.withColumn("_kernel", page_kernel(options, options.only_main)(F.col("html"), effective_url(pages)))
-    return df.select(*kept, F.coalesce(finish_markdown(F.col("_kernel")["md_raw"], options), F.lit("")).alias("markdown"))
+    df = Finish("_raw", "_md", options)(df.withColumn("_raw", F.col("_kernel")["md_raw"]))
+    return df.select(*kept, F.coalesce("_md", F.lit("")).alias("markdown"))

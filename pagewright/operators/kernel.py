@@ -1,4 +1,8 @@
-"""The page kernel as Arrow UDFs: one parse per row, Arrow batches in and out, null in means null out."""
+"""The page kernel as Arrow UDFs: Arrow batches in and out, null in means null out.
+
+A page that cannot be converted (a hook or rule of the caller's raises, memory runs out) gives its message in
+``error`` and null elsewhere; the other rows of its batch are not touched.
+"""
 
 from __future__ import annotations
 
@@ -19,12 +23,22 @@ _KERNEL = to_arrow_type(schema.KERNEL)
 _METADATA_FIELDS = ("title", "description", "canonical_url", "language", "author", "og_title", "og_description")
 
 
+def guarded(html: str | None, *args) -> dict | None:
+    """``convert_page``, or the message of what it raised."""
+    if html is None:
+        return None
+    try:
+        return convert_page(html, *args)
+    except Exception as e:  # noqa: BLE001 - whatever it is, it is this row's
+        return {"error": f"{type(e).__name__}: {e}"[:500]}
+
+
 def page_kernel(options: ConvertOptions, only_main: bool) -> Callable[[Column, Column], Column]:
     """(html, url) to the KERNEL struct. Non-deterministic to the planner, so it is evaluated once."""
     include, exclude, config, head_base = options.include_selectors, options.exclude_selectors, options.markdown, options.honor_head_base
 
     def run(html: pa.Array, url: pa.Array) -> pa.Array:
-        rows = [None if h is None else convert_page(h, u or "", only_main, include, exclude, config, head_base) for h, u in zip(html.to_pylist(), url.to_pylist())]
+        rows = [guarded(h, u or "", only_main, include, exclude, config, head_base) for h, u in zip(html.to_pylist(), url.to_pylist())]
         return pa.array(rows, _KERNEL)
 
     run.__annotations__ = {"html": pa.Array, "url": pa.Array, "return": pa.Array}
@@ -37,7 +51,7 @@ def row_kernel(options: ConvertOptions) -> Callable[[Column, Column, Column, Col
 
     def run(html: pa.Array, url: pa.Array, main: pa.Array, include: pa.Array, exclude: pa.Array) -> pa.Array:
         rows = zip(*(a.to_pylist() for a in (html, url, main, include, exclude)))
-        return pa.array([None if h is None else convert_page(h, u or "", m is not False, i or (), e or (), config, head_base) for h, u, m, i, e in rows], _KERNEL)
+        return pa.array([guarded(h, u or "", m is not False, i or (), e or (), config, head_base) for h, u, m, i, e in rows], _KERNEL)
 
     run.__annotations__ = {k: pa.Array for k in ("html", "url", "main", "include", "exclude", "return")}
     return F.arrow_udf(run, schema.KERNEL).asNondeterministic()

@@ -20,6 +20,6 @@ QUALITY = _struct(
 RESPONSE = _struct(markdown=_S, html_clean=_S, metadata=METADATA, links=T.ArrayType(_S), images=T.ArrayType(_S), quality=QUALITY)
 #: What the page kernel emits for one row.
 KERNEL = _struct(
-    title=_S, description=_S, canonical_url=_S, language=_S, author=_S, og_title=_S, og_description=_S, html_clean=_S, md_raw=_S, links=T.ArrayType(_S), images=T.ArrayType(_S)
+    title=_S, description=_S, canonical_url=_S, language=_S, author=_S, og_title=_S, og_description=_S, html_clean=_S, md_raw=_S, links=T.ArrayType(_S), images=T.ArrayType(_S), error=_S
 )
 PAGE = _struct(page_id=T.LongType(), url=_S, html=_S)

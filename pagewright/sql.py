@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.dom.page import convert_page
 from pagewright.dom.urls import resolve_url
+from pagewright.operators.kernel import guarded
 
 _SPACE = r"[\\u0009-\\u000D \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
@@ -27,7 +27,7 @@ NATIVE = (
 
 
 def _markdown(html: pa.Array, url: pa.Array) -> pa.Array:
-    return pa.array([None if h is None else convert_page(h, u or "", True)["md_raw"] for h, u in zip(html.to_pylist(), url.to_pylist())], pa.string())
+    return pa.array([(guarded(h, u or "", True) or {}).get("md_raw") for h, u in zip(html.to_pylist(), url.to_pylist())], pa.string())
 
 
 def _resolve(base: pa.Array, ref: pa.Array) -> pa.Array:
@@ -37,7 +37,7 @@ def _resolve(base: pa.Array, ref: pa.Array) -> pa.Array:
 class _PageLinks:
     def eval(self, html: str, url: str) -> Iterator[tuple[int, str]]:
         if html is not None:
-            seen = dict.fromkeys(v for v in (x.strip() for x in convert_page(html, url or "", False)["links"]) if v)
+            seen = dict.fromkeys(v for v in (x.strip() for x in guarded(html, url or "", False).get("links") or ()) if v)
             yield from enumerate(seen)
 
 

@@ -14,7 +14,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import TaskContext
@@ -192,9 +192,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"doc_id": "Int64", "task": "Int64"})
 
 
-def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[list[str | None]], list[bytes]]], window: int = 2048, open_windows: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[list[str | None]], list[bytes]]], window: int = 2048, open_windows: int = 64, doc_id: str = "doc_id", text: str = "text", order: Sequence[str] = ()) -> DataFrame:
     """One row per piece (schema ``PIECE``) of every row's token stream.
 
+    ``order``: columns to pack by. Rows are range-sorted by them first, and sequence ids then rise in that order,
+    but for the windows merged of leftovers, less than one a task, which come last.
+
     ``encoder`` makes, in a worker, a function from texts to ids as little-endian uint32 bytes. Each id lies in
     exactly one piece. All sequences hold ``window`` tokens but fewer than log2(window) last ones, whose
     lengths are distinct powers of two. Rows that repeat an id are packed as documents of their own, a null
@@ -237,7 +240,10 @@ def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[list[str | N
         return merge
 
 
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"order_{k}") for k, c in enumerate(order)))
+    if order:
+        by = [f"order_{k}" for k in range(len(order))]
+        chosen = chosen.repartitionByRange(max(1, docs.rdd.getNumPartitions()), *by).sortWithinPartitions(*by).select("doc_id", "text")
     first = stage(chosen.mapInPandas(pack, pieces_schema), "packed")
     left = first.where("ids is not null")
     tasks = left.agg(F.countDistinct("task")).first()[0]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.tiles import Tile, gathered_products, pack_tiles, product_bounds, renamed, rows_of, takes_part, tile_count, tile_number, tile_rows
-from pagewright.plans.staging import stage
+from pagewright.plans.staging import cleaned, stage
 
 #: Vectors in a base tile; queries in a tile of a small table; rows of a strip of products.
 BASE_TILE, QUERY_TILE, STRIP = 8192, 1024, 256
@@ -66,6 +66,7 @@ def search_tiles(q: Tile, b: Tile, heaps: Heaps) -> None:
                 heaps.merge(start + r, score[part], b.ids[j[part]])
 
 
+@cleaned
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each row that ``is_query`` selects.
 

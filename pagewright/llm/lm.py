@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.eliasfano import NgramLevel, NgramTrie, dequantise
 from pagewright.llm.words import words_of
-from pagewright.plans.staging import discard, remove, shared_dir, stage
+from pagewright.plans.staging import cleaned, note, remove, shared_dir, stage
 
 DISCOUNT = 0.75
 #: Tokens in a block, in a shard on average, and count of a word beyond which its followers go to several shards.
@@ -381,6 +381,7 @@ def _stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
     df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, key).saveAsTable(name)
     out = spark.table(name)
     out._staged_path, out._staged_table = path, name
+    note(out)
     return out
 
 
@@ -390,6 +391,7 @@ def _local(path: str) -> str | None:
     return path if not colon else "/" + rest.lstrip("/") if scheme == "file" else None
 
 
+@cleaned
 def score_corpus(docs: DataFrame, learns: Column, order: int = 2, doc_id: str = "doc_id", text: str = "text", block_tokens: int | None = None, model: str | None = None) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -470,8 +472,6 @@ def score_corpus(docs: DataFrame, learns: Column, order: int = 2, doc_id: str =
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     answers = told.unionByName(grams.select("block", F.lit(2).alias("level"), "shard", "payload"))
     scored = stage(slim.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, schema), "scores")
-    discard(blocks)
-    discard(words)
     if model is None:
         remove(spark, shared)
     return scored

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.words import words_of
-from pagewright.plans.staging import stage
+from pagewright.plans.staging import cleaned, stage
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words and units whose ids a worker remembers between chunks, and the longest word that it takes apart.
@@ -192,6 +192,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"doc_id": "Int64", "task": "Int64"})
 
 
+@cleaned
 def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[list[str | None]], list[bytes]]], window: int = 2048, open_windows: int = 64, doc_id: str = "doc_id", text: str = "text", order: Sequence[str] = ()) -> DataFrame:
     """One row per piece (schema ``PIECE``) of every row's token stream.
 

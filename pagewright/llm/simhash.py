@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.components import connected_components, local_roots
 from pagewright.llm.words import words_of
-from pagewright.plans.staging import stage
+from pagewright.plans.staging import cleaned, stage
 
 #: Members of a unit beyond which it is split into tiles.
 CROWD = 4096
@@ -263,6 +263,7 @@ def _whole_units(batches: Iterator[pa.RecordBatch], held: list[pa.RecordBatch],
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+@cleaned
 def simhash_groups(docs: DataFrame, shingle: int = 5, lanes: int = 4, budget: int = 38, recall: float = 0.98, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, f0, ..., component_id) of each row of ``docs``; component_id is the smallest doc_id reachable.
 
@@ -361,6 +362,7 @@ def link_similar(docs: DataFrame, classes: DataFrame, loose: DataFrame, shingle:
     return units.groupBy(*order).applyInArrow(join, "a long, b long")
 
 
+@cleaned
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, budget: int = 72, recall: float = 0.98) -> DataFrame:
     """(doc_id, cid, component_id) per row of ``docs``: components of rows whose shingle sets have at least that Jaccard similarity.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.fmindex import DEEP, FMIndex
 from pagewright.llm.skew import join_counted
 from pagewright.llm.words import words_of
-from pagewright.plans.staging import stage
+from pagewright.plans.staging import cleaned, stage
 
 GRAM = 16
 #: Windows in a segment at most; classes of an anchor beyond which it is split; classes in a shard on average.
@@ -199,6 +199,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"key": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "hash": F.xxhash64(text)})
 
 
+@cleaned
 def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (doc_id, key, hash, text): every row's counts and digest; the rows with shared anchors; spans by (key, hash).
 
@@ -241,6 +242,7 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
     return every, met, stage(gone, "gone")
 
 
+@cleaned
 def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by single spaces).
 

@@ -18,7 +18,7 @@ from pagewright.dom.tree import parse
 from pagewright.dom.urls import Unparsable, base_of, join, parse_url
 from pagewright.llm.components import connected_components
 from pagewright.llm.words import lower_ascii
-from pagewright.plans.staging import stage
+from pagewright.plans.staging import cleaned, stage
 
 #: Rule lists up to this length become literals of the plan; longer ones are joined on host suffixes.
 LITERAL_RULES = 512
@@ -129,6 +129,7 @@ def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
+@cleaned
 def filter_urls(pages: DataFrame, rules: list[Rule], edges: DataFrame, url: str = "url") -> DataFrame:
     """All columns of ``pages`` and ``host, path, rule, verdict`` (existing columns of these names are replaced).
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.components import connected_components, local_roots
 from pagewright.llm.tiles import Tile, exact_products, gathered_products, pack_tiles, product_bounds, renamed, rows_of, takes_part, tile_count, tile_number, tile_rows
-from pagewright.plans.staging import stage
+from pagewright.plans.staging import cleaned, stage
 
 #: Vectors in a tile of a small label; rows and columns of a block of products.
 TILE_SIZE, STRIP, BLOCK = 2048, 256, 8192
@@ -45,6 +45,7 @@ def link_tiles(a: Tile, b: Tile, same: bool, threshold: float) -> Iterator[tuple
             yield i[linked], j[linked]
 
 
+@cleaned
 def duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept; links join vectors of equal, non-null label.
 

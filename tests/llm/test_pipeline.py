@@ -167,3 +167,26 @@ def test_empty_tables_pass_all_stages(spark, pipeline, tmp_path):
 
 def test_run_leaves_one_table_of_its_stages(spark, pipeline, folder):
     assert pipeline.run(spark, folder).count() > 0
+
+
+def test_operators_leave_their_results_only(spark, folder):
+    """What an operator stages on its way is gone when its result is there."""
+    from pagewright.llm import ann, lm, packing, queries, simhash, substring, urlfilter, vecdedup
+    from pagewright.plans.staging import shared_dir
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<link rel=canonical href=/y>")], "page_id long, url string, html string")
+
+    def tables():
+        from pathlib import Path
+
+        return {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir() if not p.name.startswith("rdd-")}
+
+    for run in (
+        lambda: ann.nearest(vectors, F.col("vec_id") % 20 == 0), lambda: vecdedup.duplicate_vectors(vectors), lambda: simhash.simhash_groups(docs, 3, 1, 2), lambda: simhash.near_groups(docs),
+        lambda: substring.remove_repeats(docs), lambda: lm.score_corpus(docs, F.lit(True), order=3), lambda: packing.pack_documents(docs, queries.word_bpe_stream),
+        lambda: urlfilter.filter_urls(pages, queries.URL_RULES, urlfilter.html_edges(pages)),
+    ):
+        before = tables()
+        assert run().count() > 0 and len(tables() - before) == 1

@@ -6,8 +6,10 @@ machine's disk. Only where that setting is absent (tests, a laptop) a temporary
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +36,41 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    note(out)
     return out
 
 
+#: Tables staged by the operators that are running, innermost last.
+_RUNNING: list[list[DataFrame]] = []
+
+
+def note(df: DataFrame) -> None:
+    """Remember a staged table for the operator that is running."""
+    if _RUNNING:
+        _RUNNING[-1].append(df)
+
+
+def cleaned(operator: Callable) -> Callable:
+    """An operator whose results are staged, and whose other staged tables are deleted once they are."""
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        _RUNNING.append([])
+        try:
+            told = operator(*args, **kwargs)
+            results = [df if hasattr(df, "_staged_path") else stage(df, operator.__name__) for df in (told if isinstance(told, tuple) else (told,))]
+        finally:
+            made = _RUNNING.pop()
+        kept = {df._staged_path for df in results}
+        for df in made:
+            if df._staged_path not in kept:
+                discard(df)
+        for df in results:
+            note(df)
+        return tuple(results) if isinstance(told, tuple) else results[0]
+
+    return run
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, if it is there."""
     sc = spark.sparkContext

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.skew import join_counted
 from pagewright.llm.tiles import Tile, gathered_products, pack_tiles, product_bounds, renamed, rows_of, takes_part, tile_count, tile_number, tile_rows
 from pagewright.plans.staging import cleaned, stage
 
@@ -82,10 +83,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
         "vectors",
     )
     counts = every.groupBy("d").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("m")).where("m > 0")
-    grid = counts.select("d", tile_count(F.col("n"), F.lit(BASE_TILE)).alias("bases"), tile_count(F.col("m"), tile_rows(F.col("m"), F.col("d"), QUERY_TILE)).alias("tiles"))
+    grid = counts.select("d", "n", tile_count(F.col("n"), F.lit(BASE_TILE)).alias("bases"), tile_count(F.col("m"), tile_rows(F.col("m"), F.col("d"), QUERY_TILE)).alias("tiles"))
     grid = grid.withColumn("groups", F.greatest(F.ceil(F.col("bases") / GROUP), F.least(F.col("bases"), F.ceil(F.lit(TASKS) / F.col("tiles")))).cast("long"))
+    grid = stage(grid, "grid")
     tasks = grid.agg(F.sum(F.col("tiles") * F.col("groups"))).first()[0] or 1
-    sized = every.join(grid, "d")
+    sized = join_counted(every, grid, ["d"], "n")
     base = renamed(pack_tiles(sized.withColumn("b", tile_number(F.col("bases"))).select("d", "b", "tiles", "groups", "id", "v", "extra"), ["d", "b", "tiles", "groups"], "v"), "v_")
     asking = sized.where("asks").withColumn("q", tile_number(F.col("tiles"))).select("d", "q", "groups", "id", "v", "extra")
     queries = renamed(pack_tiles(asking, ["d", "q", "groups"], "v"), "v_")

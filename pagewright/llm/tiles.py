@@ -131,7 +131,8 @@ def pack_tiles(vectors: DataFrame, keys: list[str], vec: str) -> DataFrame:
         packed = {"ids": group["id"].to_numpy(np.int64), "vecs": vecs, "extra": group["extra"].to_numpy(np.int64)}
         return pd.DataFrame(first | {k: [v.tobytes()] for k, v in packed.items()} | {"n": [len(vecs)], "dim": [vecs.shape[1]]})
 
-    return vectors.groupBy(*keys).applyInPandas(pack, schema)
+    # dealt by all the keys: rows that are dealt by some of them already would stay together
+    return vectors.repartition(*keys).groupBy(*keys).applyInPandas(pack, schema)
 
 
 def tile_rows(count: Column, dim: Column, least: int) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.components import connected_components, local_roots
+from pagewright.llm.skew import join_counted
 from pagewright.llm.tiles import Tile, exact_products, gathered_products, pack_tiles, product_bounds, renamed, rows_of, takes_part, tile_count, tile_number, tile_rows
 from pagewright.plans.staging import cleaned, stage
 
@@ -60,8 +61,8 @@ def duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str =
     grouped = rows.where(part).groupBy("l", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("extra"))
     # a class is named by a number of its own: two classes may share their smallest id
     classes = stage(grouped.withColumns({"d": F.size("v"), "id": F.monotonically_increasing_id()}), "classes")
-    counts = classes.groupBy("l", "d").agg(F.count("*").alias("n")).withColumn("tiles", tile_count(F.col("n"), tile_rows(F.col("n"), F.col("d"), TILE_SIZE))).drop("n")
-    tiled = classes.join(counts, ["l", "d"]).withColumn("i", tile_number(F.col("tiles")))
+    counts = classes.groupBy("l", "d").agg(F.count("*").alias("n")).withColumn("tiles", tile_count(F.col("n"), tile_rows(F.col("n"), F.col("d"), TILE_SIZE)))
+    tiled = join_counted(classes, stage(counts, "counts"), ["l", "d"], "n").withColumn("i", tile_number(F.col("tiles")))
     tiles = stage(pack_tiles(tiled.select("l", "d", "i", "tiles", "id", "v", "extra"), ["l", "d", "i", "tiles"], "v"), "tiles")
     left = renamed(tiles, "a_").withColumn("j", F.explode(F.sequence(F.col("i"), F.col("tiles") - 1))).drop("tiles")
     right = renamed(tiles, "b_").withColumnRenamed("i", "j").drop("tiles")

@@ -35,12 +35,19 @@ def distinct_references(values: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
 
 
+def always() -> Column:
+    """True, but not deterministic to the planner: a caller's filter on what it guards is not pushed below it, where
+    every step would be copied into the next as often as that refers to it."""
+    return F.spark_partition_id() >= 0
+
+
 class Finish:
     """Markdown after the built-in hooks, the caller's, and post-processing: a column at a time, built once for any number of passes."""
 
     def __init__(self, raw: str, out: str, options: ConvertOptions):
         self.out = out
-        self.steps = [*hook_steps(F.col(raw), out), *(hook(F.col(out)) for _, hook in options.after_hooks), postprocess(F.col(out))]
+        last = F.when(always(), postprocess(F.col(out)))
+        self.steps = [*hook_steps(F.col(raw), out), *(hook(F.col(out)) for _, hook in options.after_hooks), last]
 
     def __call__(self, df: DataFrame) -> DataFrame:
         for step in self.steps:
@@ -123,7 +130,7 @@ def convert_pages(pages: DataFrame, options: ConvertOptions | None = None) -> Da
         metadata.alias("metadata"),
         pick("links").alias("links"),
         pick("images").alias("images"),
-        F.coalesce(pick("quality"), empty).alias("quality"),
+        F.when(always(), F.coalesce(pick("quality"), empty)).alias("quality"),
         F.when(F.col("_html").isNull(), F.lit(ERROR_BLANK)).otherwise(failed).alias("error"),
     )
 

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as tx
 from pagewright.operators import convert, kernel, lines, postprocess, quality
 from pagewright.options import ConvertOptions
+from pagewright.schema import QUALITY
 from pagewright.plans import analytics
+from pagewright.plans import page_oracles as pages_sql
 from pagewright.plans.corpus import DUCK, corpus, corpus_lines
+from pagewright.plans.duck import D_DATE, D_LINES, D_SKIP, LINK, annotated, d_collapse, d_comparable, d_control, d_frames, d_list_control, d_opening, d_opening_text, d_pagination, d_paragraphs, d_shell, d_table, d_trim, d_visible
+from pagewright.plans.page_oracles import D_HREFS, D_TITLE
 from pagewright.sources.pages import parse_requests, request_payload, spread, with_request_defaults
 from pagewright.sources.sinks import markdown_text, parse_response, response_json
 
@@ -30,90 +34,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-# --- DuckDB fragments. Its regular expressions are RE2, like the rules they check. ---
-SP = r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-LINK = r"\[[^\]]+\]\([^)]+\)"
-LABEL_ONLY = r", '^\[([^\]]+)\]\([^)]+\)$', 1)"
-
-
-def d_trim(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^{SP}+', ''), '{SP}+$', '')"
-
-
-def d_collapse(x: str) -> str:
-    return f"trim(regexp_replace({x}, '{SP}+', ' ', 'g'), ' ')"
-
-
-def d_visible(x: str) -> str:
-    return d_collapse(rf"translate(regexp_replace({x}, '\[(.*?)\]\((.*?)\)', '\1', 'g'), '`*_#>', '')")
-
-
-def d_in(x: str, values: tuple[str, ...]) -> str:
-    return f"{x} IN ({', '.join(repr(v) for v in values)})"
-
-
-def d_control(t: str) -> str:
-    label = f"lower({d_trim('regexp_extract(' + t + LABEL_ONLY)})"
-    return f"({d_in(f'lower({t})', lines.CONTROL_LINES)} OR starts_with(lower({t}), '[timeline](') OR {d_in(label, lines.CONTROL_LINES)})"
-
-
-def d_pagination(t: str) -> str:
-    labels = rf"regexp_extract_all({t}, '\[([^\]]+)\]\([^)]+\)', 1)"
-    good = f"regexp_matches(lower({d_trim('x')}), '^(\\d+|{'|'.join(lines.PAGER_LABELS)})$')"
-    return rf"(regexp_matches({t}, '^(?:{LINK}(?:\s+|$))+$') AND len(list_filter({labels}, lambda x: NOT {good})) = 0)"
-
-
-def d_short_link(t: str) -> str:
-    return f"(regexp_matches({t}, '^{LINK}$') AND length({t}) <= 120)"
-
-
-def d_opening(t: str) -> str:
-    item = d_trim(f"substr({t}, 3)")
-    return rf"({d_control(t)} OR regexp_matches({t}, '^\d+$') OR regexp_matches({t}, '^{LINK}/\s+\*\*{LINK}\*\*(?:\s+\w+)?$') OR {d_short_link(t)} OR (starts_with({t}, '- ') AND ({d_control(item)} OR {d_short_link(item)})))"
-
-
-def d_frames(t: str) -> str:
-    return rf"({t} <> '' AND ({d_control(t)} OR {d_pagination(t)} OR regexp_matches({t}, '^{LINK}$') OR regexp_matches({t}, '^(?:{LINK}(?:\s+|$))+$') OR starts_with({t}, '#')))"
-
-
-def d_comparable(t: str) -> str:
-    bare = d_trim(f"regexp_replace({t}, '^#+', '')")
-    plain = rf"replace(regexp_replace({bare}, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\', '')"
-    return f"trim(regexp_replace(lower({plain}), '[^a-z0-9]+', ' ', 'g'), ' ')"
-
-
-def d_paragraphs(x: str) -> str:
-    return f"len(list_filter(string_split({d_trim(x)}, chr(10) || chr(10)), lambda p: {d_trim('p')} <> ''))::INT"
-
-
-def d_opening_text(x: str) -> str:
-    return f"array_to_string(list_slice(list_filter(list_transform(string_split({x}, chr(10)), lambda l: {d_visible('l')}), lambda v: v <> ''), 1, 14), chr(10))"
-
-
-def d_shell(opening: str) -> str:
-    hits = " + ".join(f"(CASE WHEN contains({opening}, '{p}') THEN 1 ELSE 0 END)" for p in quality.SHELL_PHRASES)
-    count = f"(length({opening}) - length(replace({opening}, 'search', ''))) / 6"
-    return f"least(0.06::DOUBLE * ({hits}) + CASE WHEN {count} >= 2 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN contains({opening}, 'navigation') THEN 0.04::DOUBLE ELSE 0 END, 0.4::DOUBLE)"
-
-
-def d_table(x: str) -> str:
-    rows = f"list_slice(list_filter(list_transform(string_split({x}, chr(10)), lambda l: {d_trim('l')}), lambda l: l <> ''), 1, 12)"
-    marked = f"len(list_filter({rows}, lambda l: starts_with(l, '|') OR contains(l, '| --- |')))"
-    pipes = f"coalesce(list_sum(list_transform({rows}, lambda l: length(l) - length(replace(l, '|', '')))), 0)"
-    return f"CASE WHEN {marked} >= 3 OR {pipes} >= 16 THEN 0.18::DOUBLE WHEN {marked} >= 2 OR {pipes} >= 8 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END"
-
-
-#: Annotated lines in DuckDB: fence, inside, before, after, as window functions.
-D_LINES = f"""a AS (SELECT doc, pos, line, {d_trim('line')} AS t FROM corpus_lines
-), b AS (
-  SELECT *, (starts_with(t, '```') OR starts_with(t, '~~~')) AS fence,
-    sum((starts_with(t, '```') OR starts_with(t, '~~~'))::INT) OVER w % 2 = 1 AS inside,
-    coalesce(last_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
-    coalesce(first_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
-  FROM a WINDOW w AS (PARTITION BY doc ORDER BY pos)
-)"""
-
-
 def _lines_query(keep: str) -> str:
     """Documents whose lines are filtered by ``keep``; documents without lines left are empty."""
     return f"WITH {DUCK}, {D_LINES} SELECT doc, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER ({keep}), '') AS md FROM b GROUP BY doc"
@@ -244,11 +164,9 @@ query(
 ), c AS (SELECT doc, max(cut) AS cut FROM r GROUP BY doc)
 SELECT n.doc, CASE WHEN any_value(cut) = 0 THEN string_agg(line, chr(10) ORDER BY pos) ELSE ltrim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (pos > cut), ''), chr(10)) END AS md FROM n JOIN c ON n.doc = c.doc GROUP BY n.doc""",
 )(on_corpus(lines.trim_opening_shell))
-query("after_hooks")(on_corpus(lines.after_hooks))
+query("after_hooks", pages_sql.AFTER_HOOKS)(on_corpus(lines.after_hooks))
 
 # --- post-processing ---
-D_SKIP = r"regexp_replace(md, '(?im)^\[skip to content\]\(#[^)]+\)\s*$', '', 'g')"
-D_DATE = r"regexp_replace({x}, '([A-Za-z])((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{{1,2}},\s+\d{{4}})', '\1\\' || chr(10) || '\\' || chr(10) || '\2', 'g')"
 query("pp_crlf", sql_corpus("replace(replace(md, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10))"))(on_corpus(lambda c: tx.unix_lines(F.replace(c, F.lit("\n"), F.lit("\r\n")))))
 query("pp_skip_link", sql_corpus(D_SKIP))(on_corpus(postprocess.drop_skip_links))
 query("pp_split_cards", sql_corpus("replace(md, ')[![', ')' || chr(10) || chr(10) || '[![')"))(on_corpus(postprocess.split_card_links))
@@ -256,14 +174,6 @@ query("pp_label_date", sql_corpus(D_DATE.format(x="md")))(on_corpus(postprocess.
 query("pp_dup_images", _lines_query("NOT (starts_with(t, '![') AND starts_with(after, '[' || t))"))(on_corpus(lambda c: F.array_join(postprocess.drop_repeated_images(F.split(c, "\n")), "\n")))
 
 
-def d_list_control(line: str) -> str:
-    normal = d_collapse(rf"translate(translate(lower({d_trim(line)}), '\', ' '), '*_#`', '')")
-    left = "v"
-    for phrase in postprocess.LIST_CONTROLS:
-        left = f"replace({left}, '{phrase}', '')"
-    return f"list_transform([{normal}], lambda v: v <> '' AND {d_collapse(left)} = '')[1]"
-
-
 query("list_control_line", sql_lines(d_list_control("line")))(on_lines(postprocess.is_list_control))
 query("pp_list_controls", _lines_query(f"NOT {d_list_control('line')}"))(on_corpus(lambda c: F.array_join(postprocess.drop_list_controls(F.split(c, "\n")), "\n")))
 query("pp_rtrim", sql_corpus(r"array_to_string(list_transform(string_split(md, chr(10)), lambda l: regexp_replace(l, '[ \t]+$', '')), chr(10))"))(on_corpus(lambda c: F.array_join(postprocess.rtrim_lines(F.split(c, "\n")), "\n")))
@@ -272,7 +182,7 @@ query(
     f"WITH {DUCK}, {D_LINES}, p AS (SELECT *, NOT fence AND NOT inside AND t = '' AS blank FROM b), c AS (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc ORDER BY pos), false) AS again FROM p) "
     "SELECT doc, coalesce(string_agg(CASE WHEN blank THEN '' ELSE line END, chr(10) ORDER BY pos) FILTER (NOT (blank AND again)), '') AS md FROM c GROUP BY doc",
 )(on_corpus(lambda c: F.array_join(postprocess.collapse_blank_lines(F.split(c, "\n")), "\n")))
-query("postprocess_full")(on_corpus(postprocess.postprocess))
+query("postprocess_full", pages_sql.POSTPROCESS)(on_corpus(postprocess.postprocess))
 
 # --- URLs ---
 SRCSET = "concat('/s', CAST(l_partkey AS {s}), '.png ', CAST(l_linenumber % 4 AS {s}), 'x, /m', CAST(l_suppkey AS {s}), '.png ', CASE WHEN l_suppkey % 5 = 0 THEN 'big' ELSE concat(CAST(l_partkey % 5 AS {s}), '.5w') END, ', ,/l.png')"
@@ -289,9 +199,6 @@ def srcset_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("srcset", tx.largest_source(F.col("srcset")).alias("url"))
 
 
-D_HREFS = "h AS (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)"
-
-
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -303,10 +210,6 @@ def resolve_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- metadata, links, images ---
-D_UNESCAPE = "replace(replace(replace(replace({x}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-D_TITLE = d_collapse(D_UNESCAPE.format(x="regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))
-
-
 @query("page_title", f"SELECT page_id, {D_TITLE} AS title FROM pages")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pages_of(spark, sf_dir).select("page_id", kernel.page_metadata()(F.col("html")).alias("m"))
@@ -333,44 +236,44 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- cleaning and conversion ---
-D_ARTICLE = d_collapse(D_UNESCAPE.format(x="regexp_replace(regexp_extract(html, '<article>(.*?)(?:</article>|$)', 1, 's'), '<[^>]*>', '', 'g')"))
 
 
-@query("main_root")
+@query("main_root", pages_sql.MAIN_ROOT)
 def main_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(spark, sf_dir).select("page_id", F.coalesce(F.length(kernel.root_text()(F.col("html"))), F.lit(0)).alias("root_length"))
 
 
-@query("clean_html")
+@query("clean_html", pages_sql.CLEAN_HTML)
 def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(spark, sf_dir).select("page_id", kernel.clean_html(True)(F.col("html")).alias("main"), kernel.clean_html(False)(F.col("html")).alias("full"))
 
 
-@query("select_include")
+@query("select_include", pages_sql.SELECT_INCLUDE)
 def select_include(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(spark, sf_dir).select("page_id", kernel.clean_html(False, ("nav li:first-child", "h1"))(F.col("html")).alias("html_clean"))
 
 
-@query("select_exclude")
+@query("select_exclude", pages_sql.SELECT_EXCLUDE)
 def select_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(spark, sf_dir).select("page_id", kernel.clean_html(False, (), ("nav", "div.ad", "article > p:nth-child(n+3)"))(F.col("html")).alias("html_clean"))
 
 
-@query("to_markdown")
+@query("to_markdown", pages_sql.TO_MARKDOWN)
 def to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.to_markdown(pages_of(spark, sf_dir)).select("page_id", "markdown")
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("page_id", "markdown", "html_clean", "metadata.title", "metadata.language", "metadata.canonical_url", F.size("links").alias("n_links"), F.size("images").alias("n_images"), "quality.*", "error")
+    rounded = [F.round(f"quality.{f.name}", 9).alias(f.name) if f.name in ("link_density", "quality_score") else F.col(f"quality.{f.name}") for f in QUALITY]
+    return df.select("page_id", "markdown", "html_clean", "metadata.title", "metadata.language", "metadata.canonical_url", F.size("links").alias("n_links"), F.size("images").alias("n_images"), *rounded, "error")
 
 
-@query("convert_main")
+@query("convert_main", pages_sql.CONVERT_MAIN)
 def convert_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(convert.convert_pages(pages_of(spark, sf_dir)))
 
 
-@query("convert_full")
+@query("convert_full", pages_sql.CONVERT_FULL)
 def convert_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(convert.convert_pages(pages_of(spark, sf_dir), ConvertOptions(only_main_content=False)))
 
@@ -381,7 +284,7 @@ def convert_full_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", F.size("links").cast("long").alias("n_links"))
 
 
-@query("fallback_rows")
+@query("fallback_rows", pages_sql.FALLBACK_ROWS)
 def fallback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = convert.convert_pages(pages_of(spark, sf_dir))
     return done.where("quality.fallback_used").select("page_id", "quality.text_length", F.size("links").alias("n_links"))
@@ -395,7 +298,7 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_request_defaults(sent).select("page_id", "url", "html", "options.only_main_content")
 
 
-@query("response_json")
+@query("response_json", pages_sql.RESPONSE)
 def response_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = convert.convert_pages(pages_of(spark, sf_dir))
     back = done.select("page_id", parse_response(response_json(done)).alias("r"))

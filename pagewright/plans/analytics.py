@@ -1,4 +1,4 @@
-"""Relational operators over converted pages: roll-ups, link graph, near lines, set operations."""
+"""Relational operators over converted pages: roll-ups, link graph, near lines, joins in time."""
 
 from __future__ import annotations
 
@@ -71,3 +71,30 @@ def length_histogram(df: DataFrame, length: Column, edges: list[int]) -> DataFra
     bins = df.sparkSession.createDataFrame([(a, b) for a, b in zip(edges, [*edges[1:], None])], "low int, high int")
     sized = df.select(length.alias("length"))
     return sized.join(F.broadcast(bins), (F.col("length") >= F.col("low")) & (F.col("high").isNull() | (F.col("length") < F.col("high")))).groupBy("low", "high").agg(F.count("*").alias("n"))
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, value: str, out: str) -> DataFrame:
+    """Rows of ``left`` with ``out``: ``value`` of the latest row of ``right`` of equal key, at its time or before; null without.
+
+    Of rows at one time the one of largest ``tie`` counts. One sort of both sides by (key, time); no pairs are made.
+    """
+    told = F.struct(F.col(value).alias("value"))
+    both = left.withColumns({"_side": F.lit(1), "_tie": F.lit(None).cast(right.schema[tie].dataType), "_told": F.lit(None).cast(f"struct<value:{right.schema[value].dataType.simpleString()}>")}).unionByName(
+        right.select(key, time, F.lit(0).alias("_side"), F.col(tie).alias("_tie"), told.alias("_told")), allowMissingColumns=True
+    )
+    earlier = Window.partitionBy(key).orderBy(time, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(out, F.last("_told", ignorenulls=True).over(earlier)["value"]).where("_side = 1").drop("_side", "_tie", "_told")
+
+
+def within(left: DataFrame, right: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
+    """Pairs (left.*, then right.* with the prefix ``near_``) of equal key, the right at most ``seconds`` before the left or at its time.
+
+    An equi-join on key and time bucket: each row of ``left`` looks into two buckets, so a crowded key is spread over time.
+    Times without a zone are read in the session's.
+    """
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    bucket = lambda t: F.floor(micros(t) / (seconds * 1_000_000))
+    near = right.select(*[F.col(c).alias(f"near_{c}") for c in right.columns], bucket(F.col(time)).alias("_bucket"))
+    spread = left.withColumn("_bucket", F.explode(F.array(bucket(F.col(time)) - 1, bucket(F.col(time)))))
+    apart = micros(F.col(time)) - micros(F.col(f"near_{time}"))
+    return spread.join(near, (F.col(key) == F.col(f"near_{key}")) & (spread["_bucket"] == near["_bucket"]) & apart.between(0, seconds * 1_000_000)).drop("_bucket")

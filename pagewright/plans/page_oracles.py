@@ -220,3 +220,7 @@ CONVERT_MAIN = f"WITH RECURSIVE {PASSES} {_CHOSEN}"
 CONVERT_FULL = f"WITH RECURSIVE {PASSES} {_flat('whole_scored', 'false', 'false')}"
 FALLBACK_ROWS = f"WITH RECURSIVE {PASSES}, chosen AS ({_CHOSEN}) SELECT page_id, text_length, n_links FROM chosen WHERE fallback_used"
 RESPONSE = f"WITH RECURSIVE {PASSES}, chosen AS ({_CHOSEN}) SELECT page_id, title, text_length, {d_trim('markdown')} || {NL} AS markdown FROM chosen"
+STREAM = f"WITH RECURSIVE {PASSES}, chosen AS ({_CHOSEN}) SELECT page_id, markdown, fallback_used FROM chosen"
+#: Edges of pages to absolute targets, and the urls of all pages, both without fragments.
+PAGE_EDGES = f"""{D_HREFS}, edges AS (SELECT DISTINCT page_id, regexp_replace({D_TARGET.format(href='href')}, '#.*', '') AS target FROM h WHERE trim(href) <> ''
+), known AS (SELECT DISTINCT regexp_replace(url, '#.*', '') AS url FROM pages WHERE url IS NOT NULL)"""

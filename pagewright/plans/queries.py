@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,13 +12,16 @@ from pagewright.functions import text as tx
 from pagewright.operators import convert, kernel, lines, postprocess, quality
 from pagewright.options import ConvertOptions
 from pagewright.schema import QUALITY
-from pagewright.plans import analytics
+from pagewright import sql
+from pagewright.plans import analytics, planted
 from pagewright.plans import page_oracles as pages_sql
 from pagewright.plans.corpus import DUCK, corpus, corpus_lines
 from pagewright.plans.duck import D_DATE, D_LINES, D_SKIP, LINK, annotated, d_collapse, d_comparable, d_control, d_frames, d_list_control, d_opening, d_opening_text, d_pagination, d_paragraphs, d_shell, d_table, d_trim, d_visible
 from pagewright.plans.page_oracles import D_HREFS, D_TITLE
+from pagewright.plans.staging import shared_dir
 from pagewright.sources.pages import parse_requests, request_payload, spread, with_request_defaults
 from pagewright.sources.sinks import markdown_text, parse_response, response_json
+from pagewright.streaming.convert import stream_convert, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +44,7 @@ def _lines_query(keep: str) -> str:
 
 
 def on_documents(f: Callable[[Column], Column], name: str = "value") -> Query:
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", f(F.coalesce("text", F.lit(""))).alias(name))
+    return lambda spark, sf_dir: spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", f(F.coalesce("text", F.lit(""))).alias(name))
 
 
 def on_corpus(f: Callable[[Column], Column], name: str = "md") -> Query:
@@ -92,7 +96,7 @@ SELECT {key}, text_length, paragraph_count, title_present, round(density, 9) AS
 
 @query("quality_score", _score_sql("src AS (SELECT doc_id, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS x, source, n_chars FROM documents)", "doc_id", "x", "coalesce(source, '')", "(doc_id % 7)", "(doc_id % 3)"))
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return _scored(docs, "doc_id", F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("doc_id") % 7, F.col("doc_id") % 3)
 
 
@@ -308,13 +312,13 @@ def response_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- relational analogues ---
 @query("quality_by_lang", f"WITH q AS (SELECT lang, source, length({d_visible('replace(coalesce(text, chr(32)), chr(13) || chr(10), chr(10))')}) AS n FROM documents) SELECT lang, source, count(*) AS n, sum(n)::BIGINT AS total_length FROM q GROUP BY ROLLUP (lang, source)")
 def quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", F.length(tx.visible_text(F.coalesce("text", F.lit("")))).alias("text_length"), F.lit(0.0).alias("quality_score"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text")).select("lang", "source", F.length(tx.visible_text(F.coalesce("text", F.lit("")))).alias("text_length"), F.lit(0.0).alias("quality_score"))
     return analytics.quality_rollup(docs, ["lang", "source"]).select("lang", "source", "n", "total_length")
 
 
 @query("quality_cube", f"WITH q AS (SELECT lang, source, length({d_visible('replace(coalesce(text, chr(32)), chr(13) || chr(10), chr(10))')}) AS n FROM documents) SELECT lang, source, count(*) AS n, sum(n)::BIGINT AS total_length FROM q GROUP BY CUBE (lang, source)")
 def quality_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", F.length(tx.visible_text(F.coalesce("text", F.lit("")))).alias("text_length"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text")).select("lang", "source", F.length(tx.visible_text(F.coalesce("text", F.lit("")))).alias("text_length"))
     return analytics.quality_cube(docs, ["lang", "source"])
 
 
@@ -328,18 +332,6 @@ def links_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.linked_by(_edges(spark, sf_dir))
 
 
-@query("link_target_known", f"WITH {D_HREFS} SELECT page_id, href AS target FROM h WHERE EXISTS (SELECT 1 FROM h g WHERE g.href = h.href AND g.page_id = 0)")
-def link_target_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
-    return analytics.known_targets(edges, edges.where("page_id = 0").select(F.col("target").alias("url"))).select("page_id", "target")
-
-
-@query("link_target_unknown", f"WITH {D_HREFS} SELECT page_id, href AS target FROM h WHERE trim(href) <> '' AND NOT EXISTS (SELECT 1 FROM h g WHERE g.href = h.href AND g.page_id = 0)")
-def link_target_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
-    return analytics.unknown_targets(edges, edges.where("page_id = 0").select(F.col("target").alias("url"))).select("page_id", "target")
-
-
 def _page_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Edges to absolute targets, and all pages; urls of both in resolved form, without fragments."""
     plain = lambda url: F.regexp_replace(url, "#.*", "")
@@ -349,12 +341,12 @@ def _page_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return edges.distinct(), pages.where("url is not null").distinct()
 
 
-@query("link_page_known")
+@query("link_page_known", f"WITH {pages_sql.PAGE_EDGES} SELECT page_id, target FROM edges WHERE target IN (SELECT url FROM known)")
 def link_page_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.known_targets(*_page_edges(spark, sf_dir)).select("page_id", "target")
 
 
-@query("link_page_unknown")
+@query("link_page_unknown", f"WITH {pages_sql.PAGE_EDGES} SELECT page_id, target FROM edges WHERE target NOT IN (SELECT url FROM known)")
 def link_page_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.unknown_targets(*_page_edges(spark, sf_dir)).select("page_id", "target")
 
@@ -365,7 +357,7 @@ def top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.top_by(docs, "lang", F.col("text_length"), "doc_id", 10)
 
 
-@query("length_histogram", f"WITH q AS (SELECT length({d_visible('replace(coalesce(text, chr(32)), chr(13) || chr(10), chr(10))')}) AS n FROM documents), e(low, high) AS (VALUES (0, 500), (500, 2000), (2000, 8000), (8000, 1000000)) SELECT low, high, count(*) AS n FROM q JOIN e ON n >= low AND n < high GROUP BY 1, 2")
+@query("length_histogram", f"WITH q AS (SELECT length({d_visible('replace(coalesce(text, chr(32)), chr(13) || chr(10), chr(10))')}) AS n FROM documents), e(low, high) AS (VALUES (0, 500), (500, 2000), (2000, 8000), (8000, 1000000), (1000000, NULL)) SELECT low, high, count(*) AS n FROM q JOIN e ON n >= low AND (high IS NULL OR n < high) GROUP BY 1, 2")
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return analytics.length_histogram(docs, F.length(tx.visible_text(F.coalesce("text", F.lit("")))), [0, 500, 2000, 8000, 1_000_000])
@@ -374,3 +366,86 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("duplicate_documents", "SELECT sha256(replace(text, chr(13) || chr(10), chr(10))) AS digest, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.duplicate_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null"), "doc_id", "text")
+
+
+# --- planted pages: metadata, images, base, lists, tables, code ---
+@query("planted_metadata", planted.METADATA)
+def planted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = convert.convert_pages(spread(planted.planted(spark, sf_dir)))
+    return done.select("page_id", *[f"metadata.{n}" for n in ("title", "description", "canonical_url", "language", "author", "og_title", "og_description")])
+
+
+@query("planted_references", planted.REFERENCES)
+def planted_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spread(planted.planted(spark, sf_dir))
+    plain = convert.convert_pages(pages).select("page_id", F.array_join("links", "|").alias("links"), F.array_join("images", "|").alias("images"))
+    based = convert.convert_pages(pages, ConvertOptions(honor_head_base=True)).select("page_id", F.array_join("links", "|").alias("based_links"))
+    return plain.join(based, "page_id")
+
+
+@query("planted_markdown", planted.MARKDOWN)
+def planted_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.to_markdown(spread(planted.planted(spark, sf_dir))).select("page_id", "markdown")
+
+
+# --- joins in time, set operations ---
+@query("as_of_join", "SELECT p.event_id, (SELECT arg_max(c.event_id, (c.ts, c.event_id)) FROM events c WHERE c.user_id = p.user_id AND c.event_type = 'click' AND c.ts <= p.ts) AS click_id FROM events p WHERE event_type = 'purchase'")
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    side = lambda kind: events.where(F.col("event_type") == kind).drop("event_type")
+    return analytics.as_of(side("purchase"), side("click"), "user_id", "ts", "event_id", "event_id", "click_id").select("event_id", "click_id")
+
+
+@query("interval_join", "SELECT p.event_id, c.event_id AS click_id FROM events p JOIN events c ON p.user_id = c.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 6 HOURS WHERE p.event_type = 'purchase' AND c.event_type = 'click'")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    side = lambda kind: events.where(F.col("event_type") == kind).drop("event_type")
+    return analytics.within(side("purchase"), side("click"), "user_id", "ts", 6 * 3600).select("event_id", F.col("near_event_id").alias("click_id"))
+
+
+def _lengths(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("lang") == lang).select("n_chars")
+
+
+query("set_intersect", "SELECT n_chars FROM documents WHERE lang = 'en' INTERSECT SELECT n_chars FROM documents WHERE lang = 'fr'")(lambda spark, sf_dir: _lengths(spark, sf_dir, "en").intersect(_lengths(spark, sf_dir, "fr")))
+query("set_except", "SELECT n_chars FROM documents WHERE lang = 'en' EXCEPT SELECT n_chars FROM documents WHERE lang = 'fr'")(lambda spark, sf_dir: _lengths(spark, sf_dir, "en").subtract(_lengths(spark, sf_dir, "fr")))
+query("set_except_all", "SELECT n_chars FROM documents WHERE lang = 'en' EXCEPT ALL SELECT n_chars FROM documents WHERE lang = 'fr'")(lambda spark, sf_dir: _lengths(spark, sf_dir, "en").exceptAll(_lengths(spark, sf_dir, "fr")))
+query("union_all", "SELECT lang, n_chars FROM documents WHERE lang = 'en' UNION ALL SELECT lang, n_chars FROM documents WHERE lang = 'fr'")(
+    lambda spark, sf_dir: _lengths(spark, sf_dir, "en").select(F.lit("en").alias("lang"), "n_chars").unionByName(_lengths(spark, sf_dir, "fr").withColumn("lang", F.lit("fr")))
+)
+
+
+# --- SQL surface and streams ---
+def _view(df: DataFrame) -> str:
+    name = f"view_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+@query("sql_functions", sql_documents(f"length({d_visible('x')})::INT AS text_length, {d_paragraphs('x')} AS paragraphs, {d_collapse(d_trim('x'))}", "plain"))
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    docs = _view(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.unix_lines(F.coalesce("text", F.lit(""))).alias("x")))
+    return spark.sql(f"SELECT doc_id, md_text_length(x) AS text_length, md_paragraph_count(x) AS paragraphs, md_collapse_space(md_trim_space(x)) AS plain FROM {docs}")
+
+
+@query("sql_page_links", f"WITH {pages_sql.PARTS}, t AS (SELECT page_id, {pages_sql.D_TARGET.format(href='href')} AS link, min(k) AS k FROM items GROUP BY ALL) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS pos, link FROM t")
+def sql_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(f"SELECT page_id, pos, link FROM {_view(pages_of(spark, sf_dir))}, LATERAL page_links(html, url)")
+
+
+@query("sql_markdown", f"WITH {pages_sql.PARTS}, {pages_sql.RENDERED}, {pages_sql.joined('done', 'main_lines', 'main_lines')} SELECT doc AS page_id, md AS markdown FROM done")
+def sql_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(f"SELECT page_id, html_to_markdown(html, url) AS markdown FROM {_view(pages_of(spark, sf_dir))}")
+
+
+@query("stream_convert", pages_sql.STREAM)
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as a stream, converted in micro-batches, appended as Parquet and read again."""
+    pages = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    done = stream_convert(pages).select("page_id", "markdown", "quality.fallback_used")
+    write_stream(done, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{at}/rows")

@@ -54,6 +54,30 @@ def test_strict(pages):
         convert_pages(pages, ConvertOptions(strict=True)).collect()
 
 
+def raise_on_marked(root):
+    if "boom" in root.text():
+        raise ValueError("boom was found")
+
+
+def test_a_page_that_fails_is_its_own_error(spark):
+    from pagewright.dom.render import MarkdownConfig
+
+    options = ConvertOptions(markdown=MarkdownConfig().with_before_hook("raise", raise_on_marked))
+    df = spark.createDataFrame([(1, "<p>boom"), (2, "<p>fine " + "word " * 60), (3, None), (4, "<node><wrapped>x" + "<div>" * 2000)], "page_id long, html string")
+    rows = {r["page_id"]: r for r in convert_pages(df, options).collect()}
+    assert rows[1]["error"] == "ValueError: boom was found" and (rows[1]["markdown"], rows[1]["html_clean"], rows[1]["links"], rows[1]["quality"]["text_length"]) == ("", "", [], 0)
+    assert rows[2]["error"] is None and rows[2]["markdown"].startswith("fine word") and rows[3]["error"] == "html is required" and rows[4]["markdown"] == "x"
+    with pytest.raises(Exception, match="boom was found"):
+        convert_pages(df.where("page_id < 3"), ConvertOptions(markdown=options.markdown, strict=True)).collect()
+    assert options.describe()["before_hooks"] == ["drop_button_like_elements", "raise"] and options.describe()["after_hooks"][0] == "trim_opening_shell_controls"
+
+
+def test_filters_stay_above_the_steps(pages):
+    """A filter on quality must not copy the steps into itself: the plan stays small."""
+    plain, filtered = (len(df._jdf.queryExecution().optimizedPlan().toString()) for df in (convert_pages(pages), convert_pages(pages).where("quality.fallback_used and markdown != ''")))
+    assert filtered < 1.2 * plain + 2000
+
+
 def test_full_mode_never_falls_back(pages):
     rows = {r["page_id"]: r for r in convert_pages(pages, ConvertOptions(only_main_content=False)).collect()}
     assert rows[1]["links"][0] == "https://e.com/n" and not any(r["quality"]["fallback_used"] for r in rows.values())

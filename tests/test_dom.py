@@ -153,6 +153,56 @@ def test_extension_points():
     assert MarkdownConfig().rules == {}
 
 
+def test_plugins_switch_features():
+    html = "<table><tr><th>a<th>b<tr><td>1<td>2</table><p><del>x</del></p><ul><li><input type=checkbox checked>t</li></ul><pre><span class=gutter>1</span><code class=language-py>``` y</code></pre>"
+    assert md(html) == "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n~~x~~\n\n- [x] t\n\n````py\n``` y\n````"
+    assert md(html, MarkdownConfig().with_plugins("robust_code_block")) == "a\n\nb\n\n1\n\n2\n\nx\n\n- t\n\n````py\n``` y\n````"
+    assert md(html, MarkdownConfig().with_plugins("github_flavored")).endswith("- [x] t\n\n```\n1``` y\n```")
+    with pytest.raises(ValueError, match="nope"):
+        MarkdownConfig().with_plugins("nope")
+
+
+HOSTILE = {
+    "tags that name renderer parts": ("<node>a</node><wrapped>b</wrapped><children>c</children><render>d</render><table_>e</table_>", "abcde"),
+    "nested div": ("<div>" * 20_000 + "x", "x"),
+    "nested bold": ("<b>" * 20_000 + "x", "**x**"),
+    "nested with attributes": ("".join(f"<b id={i}>" for i in range(20_000)) + "x", None),
+    "nested lists": ("<ul><li>" * 5_000 + "x", None),
+    "nested tables": ("<table><tr><td>" * 5_000 + "x", None),
+    "open angles": ("<" * 200_000, "<" * 200_000),
+    "open comments": ("x" + "<!--" * 50_000, "x"),
+    "open quotes": ('x<a href="' * 50_000, None),
+    "ampersands": ("&" * 200_000, "&" * 200_000),
+    "open scripts": ("x" + "<script>" * 50_000, "x"),
+    "siblings removed": ("<button>x</button><nav>y</nav>" * 20_000 + "z", "z"),
+    "end tags": ("x</nope>" * 20_000, "x" * 20_000),
+    "spaces": ("<h1>a" + "\xa0" * 200_000 + "b</h1>", None),
+    "texts in a table": ("<table>" + "y<b>x</b>" * 5_000, None),
+    "attributes": ("<p " + " ".join(f"a{i}=1" for i in range(50_000)) + ">x", "x"),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_markup_is_linear(name):
+    import time
+
+    html, want = HOSTILE[name]
+    start = time.perf_counter()
+    got = convert_page(html, "https://e.com/", True)["md_raw"]
+    assert time.perf_counter() - start < 20 and (want is None or got == want)
+
+
+@pytest.mark.parametrize(
+    ("html", "tree"),
+    [
+        ("<title>a<b>c</title>x", "x"), ("a<!-- b", "a<!-- b-->"), ("a<!-->b<!--->c", "a<!---->b<!---->c"), ("<p a=1 a=2 B='x>y'>z", '<p a="1" b="x&gt;y">z</p>'), ("a</>b</3>c", "ab<!--3-->c"), ("a<?x?>b", "a<!--?x?-->b"),
+        ("<a href=?x&copy=1&amp;y>z", '<a href="?x&amp;copy=1&amp;y">z</a>'), ("1\r\n2\r3", "1\n2\n3"), ("<p>a<b", "<p>a</p>"), ("<textarea><p>x</textarea>y", "<textarea>&lt;p&gt;x</textarea>y"), ("<p/>x", "<p>x</p>"), ("a < b <3", "a &lt; b &lt;3"),
+    ],
+)
+def test_tokens(html, tree):
+    assert body(html) == tree
+
+
 PAGE = """<html lang=" en "><head><title>T  x</title><meta name="description" content=" d "><link rel="canonical nofollow" href=/no><base href="/base/"></head>
 <body><header>H</header><nav><a href=/n>n</a></nav><main><div class="cookie-bar">c</div><article><header>gone</header><h1>Art</h1><p>Text <a href=rel>l</a></p>
 <script>s()</script><img srcset="/a.png 1x, /b.png 2x" alt=z><div hidden>h</div></article></main><aside>as</aside></body></html>"""

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.operators import lines, postprocess
 
@@ -114,3 +115,25 @@ def test_window_form_agrees_with_fold(spark):
     by_fold = {r["doc"]: r["x"] for r in docs.select("doc", F.transform(lines.annotated(F.col("md")), lambda x: x["inside"]).alias("x")).collect()}
     assert by_window == {(d, i): v for d, x in by_fold.items() for i, v in enumerate(x)}
     assert len(list(itertools.chain(*by_fold.values()))) == len(by_window)
+
+
+def test_long_documents_take_linear_time(spark):
+    """64,000 lines through all hooks and post-processing, equal to the hooks one by one on a short document of the same lines."""
+    import time
+
+    from pagewright.operators import lines, postprocess
+
+    def text(n):
+        return "\n".join(("", "[a](/b)", "word %d" % (i % 50), "12", "```" if i % 997 == 0 else "", "# Heading", "same", "same", "![i](/i)", "[![i](/i)](/j)")[i % 10] for i in range(n))
+
+    def run(md, steps):
+        df = spark.createDataFrame([(md,)], "md string")
+        for step in steps:
+            df = df.select(step(F.col("md")).alias("md"))
+        return df.first()[0]
+
+    both = [lines.after_hooks, postprocess.postprocess]
+    start = time.perf_counter()
+    long = run(text(64_000), both)
+    assert time.perf_counter() - start < 60 and 20_000 < long.count("\n") < 64_000
+    assert run(text(2_000), both) == run(text(2_000), [*lines.AFTER_HOOKS.values(), postprocess.postprocess])

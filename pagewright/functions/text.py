@@ -69,11 +69,14 @@ def paragraph_count(markdown: Column) -> Column:
 
 
 def first_lines(markdown: Column, count: int, shape: Callable[[Column], Column]) -> Column:
-    """The first ``count`` non-empty results of ``shape`` over the lines; later lines are not shaped."""
-    def step(out: Column, line: Column) -> Column:
-        return F.when(F.size(out) >= count, out).otherwise(let(shape(line), lambda v: F.when(v == "", out).otherwise(F.concat(out, F.array(v)))))
+    """The first ``count`` non-empty results of ``shape`` over the lines; others than the first few are shaped only where those do not suffice."""
+    few = 2 * count
+    shaped = lambda lines: F.filter(F.transform(lines, shape), lambda v: v != "")
 
-    return F.aggregate(split_lines(markdown), F.array().cast("array<string>"), step)
+    def told(lines: Column) -> Column:
+        return let(shaped(F.slice(lines, 1, few)), lambda head: F.slice(F.when((F.size(head) >= count) | (F.size(lines) <= few), head).otherwise(shaped(lines)), 1, count))
+
+    return let(F.filter(split_lines(markdown), lambda line: trim_space(line) != ""), told)
 
 
 def opening_text(markdown: Column, lines: int) -> Column:

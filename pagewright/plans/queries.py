@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as tx
 from pagewright.operators import convert, kernel, lines, postprocess, quality
 from pagewright.options import ConvertOptions
-from pagewright.schema import QUALITY
+from pagewright.schema import ENVELOPE, QUALITY
 from pagewright import sql
 from pagewright.plans import analytics, planted
 from pagewright.plans import page_oracles as pages_sql
@@ -20,7 +20,7 @@ from pagewright.plans.duck import D_DATE, D_LINES, D_SKIP, LINK, annotated, d_co
 from pagewright.plans.page_oracles import D_HREFS, D_TITLE
 from pagewright.plans.staging import shared_dir
 from pagewright.sources.pages import parse_requests, request_payload, spread, with_request_defaults
-from pagewright.sources.sinks import markdown_text, parse_response, response_json
+from pagewright.sources.sinks import envelope_json, markdown_text, parse_response, response_json
 from pagewright.streaming.convert import stream_convert, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,6 +309,13 @@ def response_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "r.metadata.title", "r.quality.text_length", markdown_text(F.col("r.markdown")).alias("markdown"))
 
 
+@query("capture_json", "SELECT page_id, html, trim(url) AS url, '' AS final_url, '' AS title, false AS rendered FROM pages")
+def capture_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    back = pages.select("page_id", F.from_json(envelope_json(pages), ENVELOPE).alias("e")).select("page_id", "e.*")
+    return back.select("page_id", "html", F.trim("url").alias("url"), "final_url", "title", "rendered")
+
+
 # --- relational analogues ---
 @query("quality_by_lang", f"WITH q AS (SELECT lang, source, length({d_visible('replace(coalesce(text, chr(32)), chr(13) || chr(10), chr(10))')}) AS n FROM documents) SELECT lang, source, count(*) AS n, sum(n)::BIGINT AS total_length FROM q GROUP BY ROLLUP (lang, source)")
 def quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,15 @@ def write_documents(df: DataFrame, path: str, partition_by: str | None = None) -
     """Parquet, partitioned by language or host if asked."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+
+
+def envelope_json(df: DataFrame) -> Column:
+    """Rows as capture envelopes, which ``read_envelopes`` reads: html, url, final_url, content_type and title as text ('' where a row has none), rendered false where it does not say."""
+    text = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in ("html", "url", "final_url", "content_type", "title")]
+    rendered = F.coalesce(F.col("rendered").cast("boolean"), F.lit(False)) if "rendered" in df.columns else F.lit(False)
+    return F.to_json(F.struct(*text, rendered.alias("rendered")))
+
+
+def write_envelopes(df: DataFrame, path: str) -> None:
+    """Captured pages as JSON lines of envelopes."""
+    df.select(envelope_json(df).alias("value")).write.text(path)

@@ -165,6 +165,16 @@ def test_files_and_envelopes(spark, tmp_path):
     assert [(r["html"], r["url"], r["final_url"]) for r in rows] == [("h", "u", "f"), ("", "v", "f")]
 
 
+def test_envelopes_round_trip(spark, tmp_path):
+    from pagewright.sources.pages import read_envelopes
+    from pagewright.sources.sinks import write_envelopes
+
+    rows = [("<p>a\n\"q\"</p>", "https://a.org/", None, True), (None, None, "text/html", None)]
+    write_envelopes(spark.createDataFrame(rows, "html string, url string, content_type string, rendered boolean"), f"{tmp_path}/out")
+    got = sorted(tuple(r) for r in read_envelopes(spark, f"{tmp_path}/out").select("html", "url", "content_type", "title", "rendered").collect())
+    assert got == [("", "", "text/html", "", False), ("<p>a\n\"q\"</p>", "https://a.org/", "", "", True)]
+
+
 def test_writers(spark, pages, tmp_path):
     done = convert_pages(pages)
     sinks.write_responses(done, str(tmp_path / "j"))

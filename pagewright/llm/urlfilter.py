@@ -135,7 +135,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], edges: DataFrame, url: str
 
     ``edges``: (src, dst) alias links between nodes, from redirects and canonical links.
     verdict: the rule's; without a rule, allow if any alias has an allow rule, else block if any alias
-    has a block rule, else allow. Null or host-less urls have empty host and path and are allowed.
+    has a block rule, else allow. Null or host-less urls have empty host and path and are allowed. Rows that
+    repeat stay as often as they come; an empty table gives no rows.
     """
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     judged = match_rules(pages.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")), rules)

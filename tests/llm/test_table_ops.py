@@ -138,6 +138,16 @@ def test_rules_and_propagation(spark, monkeypatch, literal):
     assert len(out) == len(URLS)
 
 
+def test_url_filter_of_empty_and_repeated_rows(spark):
+    kind = "page_id long, url string, host int, html string"
+    none = spark.createDataFrame([], kind)
+    assert urlfilter.filter_urls(none, queries.URL_RULES, urlfilter.html_edges(none)).count() == 0
+    twice = spark.createDataFrame([(1, "http://a.net/x", 7, "<link rel=canonical href=/es/1>"), (1, "http://a.net/x", 7, "<link rel=canonical href=/es/1>"), (None, None, None, None)], kind)
+    got = urlfilter.filter_urls(twice, queries.URL_RULES, urlfilter.html_edges(twice))
+    assert got.columns == ["page_id", "url", "html", "host", "path", "rule", "verdict"]
+    assert sorted(((r["page_id"], r["host"], r["verdict"]) for r in got.collect()), key=repr) == [(1, "a.net", "block")] * 2 + [(None, "", "allow")]
+
+
 def test_edges_from_markup(spark):
     pages = spark.createDataFrame([
         ("https://a.org/x?y", '<link href="/main" rel="canonical">'), ("https://b.org/", "<META HTTP-EQUIV=refresh CONTENT='0; URL=https://c.org/z#q'>"), ("https://d.org/", "<link rel=stylesheet href=/s>"), (None, "<link rel=canonical href=/x>"), ("https://e.org/", None),

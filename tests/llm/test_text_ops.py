@@ -490,6 +490,12 @@ def test_pieces_cover_each_document_once(docs, rows):
     assert all(n & (n - 1) == 0 and n <= 128 for n in lengths) and sum(n < 128 for n in lengths) <= 7
 
 
+def test_packing_an_empty_table(spark):
+    assert packing.pack_documents(spark.createDataFrame([], DOCS), word_hash_stream).count() == 0
+    ordered = packing.pack_documents(spark.createDataFrame([], DOCS), word_hash_stream, order=["n_chars"])
+    assert ordered.count() == 0 and ordered.columns[0] == "doc_id"
+
+
 def test_word_ids_equal_the_tokenizer():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -306,30 +306,54 @@ def shingle_sets(docs: DataFrame, shingle: int, lanes: int = 0) -> DataFrame:
 
 
 def similar_roots(sets: list[np.ndarray], similarity: float, own: np.ndarray) -> np.ndarray:
-    """Roots after linking sets of at least that Jaccard similarity; if ``own`` has both values, only pairs across it are compared."""
+    """Roots after linking non-empty sets of at least that Jaccard similarity; if ``own`` has both values, only pairs across it are compared.
+
+    Two such sets share one of the rarest shingles of each (as many as a set may lack, and one more), so only
+    those are looked up: a passage that many texts hold brings none of them together. What is found that way is
+    compared in full, unless it is linked already. Sets of the largest group need not ask: whoever could link to
+    it from outside does.
+    """
     root, sizes = np.arange(len(sets)), np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    holder = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
-    holder, starts = holder[order], np.concatenate([[0], np.cumsum(count)])
-    stops = np.cumsum(sizes)
-    across = own.any() and not own.all()
-    for i in np.flatnonzero(own) if across else range(len(sets)):
-        if not (root != root[0]).any():
-            break
-        mine = name[stops[i] - sizes[i] : stops[i]]
-        mine = mine[count[mine] > 1]
-        runs = count[mine]
-        at = np.arange(runs.sum()) + np.repeat(starts[mine] - np.cumsum(runs) + runs, runs)
-        both = np.bincount(holder[at], minlength=len(sets))
-        near = both >= similarity * (sizes[i] + sizes - both) - 1e-9
-        near &= (both > 0) & (root != root[i])
+    if len(sets) < 2:
+        return root
+    owner, starts = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes) - sizes
+    _, name, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ranked = name[np.lexsort((name, count[name], owner))]  # each set's shingles, the rarest first
+    rare = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    first = np.arange(len(ranked)) - starts[owner] < rare[owner]
+    by_name = np.argsort(ranked[first], kind="stable")
+    holder, opens = owner[first][by_name], np.searchsorted(ranked[first][by_name], np.arange(len(count) + 1))
+    across, mine, done = own.any() and not own.all(), np.zeros(len(count), bool), np.zeros(len(sets), bool)
+    order = np.argsort(-np.add.reduceat(count[name], starts) / sizes, kind="stable")  # those that share most, first
+
+    def spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)
+
+    def ask(i: int) -> None:
+        nonlocal root
+        keys = ranked[starts[i] : starts[i] + rare[i]]
+        found = np.unique(holder[spans(opens[keys], opens[keys + 1] - opens[keys])])
+        found = found[(root[found] != root[i]) & (sizes[found] >= similarity * sizes[i] - 1e-9) & (sizes[i] >= similarity * sizes[found] - 1e-9)]
         if across:
-            near &= ~own
-        others = np.flatnonzero(near)
-        root = local_roots(len(root), np.full(len(others), i), others, root)
-    return root
+            found = found[own[found] != own[i]]
+        if not len(found):
+            return
+        held = ranked[starts[i] : starts[i] + sizes[i]]
+        mine[held] = True
+        both = np.add.reduceat(mine[ranked[spans(starts[found], sizes[found])]].astype(np.int64), np.cumsum(sizes[found]) - sizes[found])
+        mine[held] = False
+        near = found[both >= similarity * (sizes[i] + sizes[found] - both) - 1e-9]
+        root = local_roots(len(root), np.full(len(near), i), near, root)
+
+    while True:
+        largest = int(np.bincount(root).argmax())
+        waiting = order[~done[order] & (root[order] != root[largest])]
+        if not len(waiting):
+            return root
+        for i in waiting.tolist():
+            if root[i] != root[largest]:
+                done[i] = True
+                ask(i)
 
 
 def link_similar(docs: DataFrame, classes: DataFrame, loose: DataFrame, shingle: int, similarity: float) -> DataFrame:

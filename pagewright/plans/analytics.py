@@ -46,19 +46,18 @@ def top_by(df: DataFrame, group: str, score: Column, key: str, k: int) -> DataFr
 
 
 def line_windows(lines: DataFrame, key: str, order: list[str], line: str = "line") -> DataFrame:
-    """Fence parity and the nearest non-blank lines, by window functions over (key, order).
+    """Fence parity and the nearest non-blank lines, by window functions over (key, order), linear in the lines of a key.
 
     Adds fence, inside (in a fence once this line's mark has counted), before and after ('' if none).
     """
     w = Window.partitionBy(key).orderBy(*order)
     text = trim_space(F.col(line))
-    shown = F.when(text != "", text)
-    return lines.withColumns({
-        "fence": is_fence(text),
-        "inside": F.sum(F.when(is_fence(text), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1,
-        "before": F.coalesce(F.last(shown, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")),
-        "after": F.coalesce(F.first(shown, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit("")),
-    })
+    fences = F.sum(F.when(is_fence(text), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # a frame that reaches ahead to the end is read anew for every row; lag and lead move on with the row
+    quoted = lambda names: ", ".join(f"`{n}`" for n in names)
+    near = lambda f: F.coalesce(F.expr(f"{f}(_shown) IGNORE NULLS OVER (PARTITION BY {quoted([key])} ORDER BY {quoted(order)})"), F.lit(""))
+    shown = lines.withColumn("_shown", F.when(text != "", text))
+    return shown.withColumns({"fence": is_fence(text), "inside": fences % 2 == 1, "before": near("lag"), "after": near("lead")}).drop("_shown")
 
 
 def duplicate_documents(df: DataFrame, key: str = "page_id", markdown: str = "markdown") -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import lines, postprocess
+from pagewright.plans import analytics, queries
 
 WORDS = ["", "", "12", "Follow", "# Head one", "[Head one](/x)", "Head one", "- [x](/y)", "- [broken", "text [l](m)", "```", "[a](b) [c](d)", "[next](/n)", "~~~", "[timeline](x)", "  ", "* Head one"]
 
@@ -137,3 +138,32 @@ def test_long_documents_take_linear_time(spark):
     long = run(text(64_000), both)
     assert time.perf_counter() - start < 60 and 20_000 < long.count("\n") < 64_000
     assert run(text(2_000), both) == run(text(2_000), [*lines.AFTER_HOOKS.values(), postprocess.postprocess])
+
+
+def test_neighbours_of_long_documents(spark):
+    """Against a walk over the lines; no frame may reach ahead to the end, as Spark reads such frames anew for every row."""
+    draw = random.Random(5)
+    docs = {d: [draw.choice(["", "  ", "a", " b ", "```", "12", "- [broken", "[x](/y)", "# T"]) for _ in range(n)] for d, n in ((1, 1), (2, 40), (3, 3000))} | {4: [""] * 50}
+    rows = spark.createDataFrame([(d, i, t) for d, texts in docs.items() for i, t in enumerate(texts)], "doc long, pos long, line string").repartition(4)
+    found = analytics.line_windows(rows, "doc", ["pos"])
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {(r["doc"], r["pos"]): (r["fence"], r["inside"], r["before"], r["after"]) for r in found.collect()}
+    assert found.columns == ["doc", "pos", "line", "fence", "inside", "before", "after"] and len(got) == sum(map(len, docs.values()))
+    for d, texts in docs.items():
+        bare, inside = [t.strip() for t in texts], False
+        before = [""]
+        for t in bare:
+            before.append(t or before[-1])
+        after = [""]
+        for t in reversed(bare):
+            after.append(t or after[-1])
+        after.reverse()
+        for i, t in enumerate(bare):
+            inside ^= t == "```"
+            assert got[d, i] == (t == "```", inside, before[i], after[i + 1])
+
+
+@pytest.mark.parametrize("name", ["broken_metric"])
+def test_line_queries_are_linear(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan

@@ -163,7 +163,7 @@ def test_neighbours_of_long_documents(spark):
             assert got[d, i] == (t == "```", inside, before[i], after[i + 1])
 
 
-@pytest.mark.parametrize("name", ["broken_metric", "line_neighbours"])
+@pytest.mark.parametrize("name", ["broken_metric", "line_neighbours", "metric_line"])
 def test_line_queries_are_linear(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "window" in plan and "unboundedfollowing" not in plan

@@ -679,6 +679,52 @@ def test_thresholds_against_every_cut():
     assert toxicity.best_threshold(np.array([0.9, 0.1]), np.array([1, 0])) == 0.5
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Also from texts of any length, in shards that meet after every epoch."""
+    draw = random.Random(8)
+    plain = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(draw.choice(plain) for _ in range(30)) + (" vilest" if i % 5 == 0 else ""), "en") for i in range(600)]
+    rows = [(i, t + " plain" * 20_100 if i in (0, 5, 10) else t, lang) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    assert {r["toxic"]: r["n"] for r in toxicity.labelled_rows(docs, marks).groupBy("toxic").agg(F.count("*").alias("n")).collect()} == {0: 480, 1: 120}
+    assert toxicity.labelled_rows(docs, marks).agg(F.sum("words")).first()[0] == sum(len(t.split()) for _, t, _ in rows)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    learnt, fit = [], toxicity.train_nets
+    monkeypatch.setattr(toxicity, "train_nets", lambda shards, counts, n: learnt.append((counts[2], n, shards.count())) or fit(shards, counts, n))
+    model = toxicity.ToxicityModel.train(docs, marks)
+    assert learnt == [((480, 120), 4, 600)]
+    fresh = [" ".join(draw.choice(plain) for _ in range(30)) + (" vilest" if k % 2 else "") for k in range(60)]
+    scores = model.net.scores([toxicity.hashed(toxicity.WordHashes(), t) for t in fresh])
+    assert np.mean((scores >= 0.5) == np.arange(60) % 2) > 0.95
+
+
+def test_toxicity_learns_from_long_texts_alone(spark):
+    rows = [(i, "w " * 20_001 + "vilest" if i % 2 else f"w{i} fine day", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.ToxicityModel.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert [r["predicted"] for r in toxicity.score_documents(docs, model).orderBy("doc_id").collect()] == [i % 2 for i in range(40)]
+
+
+def test_gradients_of_long_texts(monkeypatch):
+    net, docs = fitted_net()
+    long, labels, share = [np.concatenate(docs)], np.array([1]), np.array([1.0])
+    net.tables, net.filters, net.bias, net.weight = [t.astype(float) for t in net.tables], [f.astype(float) for f in net.filters], net.bias.astype(float), net.weight.astype(float)
+
+    def moves():
+        grads, total, ids, dx = net.gradients(long, labels, share)
+        tables = [np.zeros((toxicity.TABLE + 1, toxicity.PART)) for _ in ids]
+        for k, (t, i) in enumerate(zip(tables, ids)):
+            np.add.at(t, i, dx[:, k * toxicity.PART : (k + 1) * toxicity.PART])
+        return [*grads, total, *tables]
+
+    whole = moves()
+    monkeypatch.setattr(toxicity, "CHUNK", 10)
+    for a, b in zip(whole, moves()):
+        assert np.allclose(a, b, atol=1e-12)
+    assert [list(p) for p in toxicity.in_chunks(np.array([2, 0, 1, 3]), [np.zeros(n) for n in (4, 5, 6, 30)])] == [[2, 0], [1], [3]]
+
+
 def test_toxicity_of_an_empty_table(spark):
     model = toxicity.ToxicityModel(toxicity.ConvNet(), {})
     none = spark.createDataFrame([], "doc_id long, text string, lang string")

@@ -679,6 +679,18 @@ def test_thresholds_against_every_cut():
     assert toxicity.best_threshold(np.array([0.9, 0.1]), np.array([1, 0])) == 0.5
 
 
+def test_thresholds_of_equal_and_counted_scores(spark):
+    scores, labels = np.array([0.9, 0.5, 0.5, 0.2]), np.array([1, 1, 0, 0])
+    counts = np.array([5, 6, 40, 9])
+    assert toxicity.best_threshold(scores, labels, counts=counts) == toxicity.best_threshold(np.repeat(scores, counts), np.repeat(labels, counts)) == pytest.approx(0.7)
+    # every labelled row counts once, scored by the net that has not seen it
+    nets = [toxicity.ConvNet(), toxicity.ConvNet()]
+    nets[0].offset, nets[1].offset = 50.0, -50.0
+    rows = [(k % 2, int(k % 3 == 0), "en", b"") for k in range(60)]
+    told = toxicity.unseen_scores(spark.createDataFrame(rows, "half int, toxic int, lang string, ids binary"), nets).collect()
+    assert {(r["toxic"], r["step"]): r["n"] for r in told} == {(1, 65535): 10, (0, 65535): 20, (1, 0): 10, (0, 0): 20}
+
+
 def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     """Also from texts of any length, in shards that meet after every epoch."""
     draw = random.Random(8)

@@ -39,6 +39,8 @@ CHUNK, MEMO = 1 << 16, 200_000
 GAP = max(WIDTHS) - 1
 #: Rows and words of a shard, on average at most; steps by which scores are counted when thresholds are set.
 SHARD_ROWS, SHARD_WORDS, SCORE_STEPS = 4096, 1 << 21, 1 << 16
+#: Messages of moves that a task sums at once; rows of the tables in a row of a message.
+MEET, BLOCK = 8, 4096
 #: Largest whole numbers of embeddings and filters; their products over the widest filter stay below 2^24.
 EMBED_STEPS, FILTER_STEPS = 511, (1 << 24) // (511 * max(WIDTHS) * TABLES * PART + 1)
 
@@ -326,10 +328,45 @@ def _in_order(shard: int, kept: list) -> tuple[int, list[np.ndarray], np.ndarray
     return shard, [r[3] for r in kept], np.array([r[1] for r in kept], np.int64), np.array([r[2] for r in kept], np.int64)
 
 
+Total = tuple[float, np.ndarray, np.ndarray, np.ndarray]
+MOVES = "net int, block int, n double, at binary, touched binary, moved binary"
+
+
+def messages(totals: dict[int, Total]) -> Iterator[pa.RecordBatch]:
+    """Sums of moves in rows of at most a block of the tables; block -1 holds the rows learnt from and all that is not a table."""
+    for k, (n, dense, rows, touched) in totals.items():
+        told = [(-1, n, b"", b"", dense.tobytes())]
+        for s in range(0, len(rows), BLOCK):
+            at = s + np.flatnonzero(touched[s : s + BLOCK])
+            if len(at):
+                told.append((s // BLOCK, 0.0, at.astype(np.int32).tobytes(), touched[at].tobytes(), rows[at].astype(np.float32).tobytes()))
+        for block, *values in told:
+            kinds = (pa.float64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), *[pa.array([v], kind) for v, kind in zip(values, kinds)]], ["net", "block", "n", "at", "touched", "moved"])
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> dict[int, Total]:
+    """Sums of moves over ``messages``, by net: (rows learnt from, all that is not a table, the tables' rows, rows that touched each of these)."""
+    totals = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            k, block, n, at, touched, moved = (c[row].as_py() for c in batch.columns)
+            so_far, dense, rows, seen = totals.get(k) or (0.0, 0.0, np.zeros((TABLES * (TABLE + 1), PART + 1)), np.zeros(TABLES * (TABLE + 1)))
+            if block < 0:
+                totals[k] = so_far + n, dense + np.frombuffer(moved), rows, seen
+            else:
+                at = np.frombuffer(at, np.int32)
+                rows[at] += np.frombuffer(moved, np.float32).reshape(-1, PART + 1)
+                seen[at] += np.frombuffer(touched)
+                totals[k] = so_far, dense, rows, seen
+    return totals
+
+
 def train_nets(shards: DataFrame, counts: list[tuple[int, int]], n_shards: int, epochs: int = 8) -> list[ConvNet]:
     """Nets that learn from the rows outside half 0, outside half 1, and from all; ``counts``: rows of class 0 and 1 of each.
 
     A net whose rows lack a class stays as drawn. What a task sends is the sum of its shards' moves, at most 10 MB a net.
+    Tasks sum these, MEET at a time, until one has the mean: the driver gets the moves of one net's size, however many shards.
     """
     spark = shards.sparkSession
     state = {k: flat(net, Sums.of(net)) for k, net in ((k, ConvNet()) for k in range(len(counts))) if min(counts[k])}
@@ -351,24 +388,24 @@ def train_nets(shards: DataFrame, counts: list[tuple[int, int]], n_shards: int,
                         r[at] += len(seen) * (moved[at].astype(np.float64) - rows[at])
                         touched[at] += len(seen)
                         total[k] = n + len(seen), d + len(seen) * (ended - dense), r, touched
-            for k, (n, d, r, touched) in total.items():
-                at = np.flatnonzero(touched)
-                told = [at.astype(np.int32), touched[at], r[at].astype(np.float32)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([float(n)]), *[pa.array([a.tobytes()], pa.binary()) for a in (d, *told)]], ["net", "n", "dense", "at", "touched", "moved"])
-
-        told = stage(shards.mapInArrow(moves, "net int, n double, dense binary, at binary, touched binary, moved binary"), "moves", "uncompressed")
-        total = {k: [0.0, np.zeros(len(d)), np.zeros(r.shape), np.zeros(len(r))] for k, (d, r) in state.items()}
-        for row in told.toLocalIterator():
-            own, at = total[row["net"]], np.frombuffer(row["at"], np.int32)
-            own[0] += row["n"]
-            own[1] += np.frombuffer(row["dense"])
-            own[2][at] += np.frombuffer(row["moved"], np.float32).reshape(-1, PART + 1)
-            own[3][at] += np.frombuffer(row["touched"])
+            yield from messages(total)
+
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from messages({k: (n, d / n, r / np.maximum(touched, 1)[:, None], touched) for k, (n, d, r, touched) in met(batches).items()})
+
+        told = stage(shards.mapInArrow(moves, MOVES), "moves", "uncompressed")
+        while (parts := told.rdd.getNumPartitions()) > MEET:
+            fewer = stage(told.coalesce(-(-parts // MEET)).mapInArrow(lambda batches: messages(met(batches)), MOVES), "moves", "uncompressed")
+            discard(told)
+            told = fewer
+        for row in told.coalesce(1).mapInArrow(mean, MOVES).toLocalIterator():
+            dense, rows = state[row["net"]]
+            if row["block"] < 0:
+                dense += np.frombuffer(row["moved"])
+            else:
+                rows[np.frombuffer(row["at"], np.int32)] += np.frombuffer(row["moved"], np.float32).reshape(-1, PART + 1)
         discard(told)
         sent.destroy()
-        for k, (n, d, r, touched) in total.items():
-            dense, rows = state[k]
-            state[k] = dense + d / n, (rows + r / np.maximum(touched, 1)[:, None]).astype(np.float32)
     return [unflat(*state[k])[0] if k in state else ConvNet() for k in range(len(counts))]
 
 

@@ -711,6 +711,44 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert np.mean((scores >= 0.5) == np.arange(60) % 2) > 0.95
 
 
+def test_moves_meet_before_the_driver(spark, monkeypatch):
+    """However many tasks learn, the driver gets each row of a net's tables once a round, in rows of bounded size."""
+    draw = random.Random(9)
+    rows = [(i, " ".join(f"w{draw.randrange(200)}" for _ in range(20)) + (" vilest" if i % 4 == 0 else ""), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 30)
+    monkeypatch.setattr(toxicity, "MEET", 2, raising=False)
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a partition a file
+    rounds, read, frame = [], type(docs).toLocalIterator, type(docs)
+
+    def spied(df, *args, **kwargs):
+        rounds.append([])
+        for row in read(df, *args, **kwargs):
+            rounds[-1].append(row)
+            yield row
+
+    monkeypatch.setattr(frame, "toLocalIterator", spied)
+    try:
+        model = toxicity.ToxicityModel.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, toxic int"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rounds) == 8
+    for told in rounds:
+        for k in range(3):
+            at = np.concatenate([np.frombuffer(r["at"], np.int32) for r in told if r["net"] == k])
+            assert len(at) == len(np.unique(at)) > 200
+        assert max(len(r["moved"]) for r in told) <= 4 * toxicity.BLOCK * (toxicity.PART + 1)
+    assert min(model.net.scores([toxicity.hashed(toxicity.WordHashes(), f"w{k} w{k + 1} vilest") for k in range(9)])) > 0.5
+    # sums of sums are the sums over all
+    draw, size = np.random.default_rng(2), toxicity.TABLES * (toxicity.TABLE + 1)
+    totals = [{k: (float(3 + t), draw.normal(size=5), draw.integers(-99, 99, (size, toxicity.PART + 1)).astype(float), draw.integers(1, 9, size).astype(float)) for k in (0, 2)} for t in range(3)]
+    sent = [list(toxicity.messages(t)) for t in totals]
+    halves = [*toxicity.messages(toxicity.met(iter(sent[0] + sent[1]))), *sent[2]]
+    for k, found in toxicity.met(iter(halves)).items():
+        for value, *parts in zip(found, *[t[k] for t in totals]):
+            assert np.allclose(value, sum(parts))
+
+
 def test_toxicity_learns_from_long_texts_alone(spark):
     rows = [(i, "w " * 20_001 + "vilest" if i % 2 else f"w{i} fine day", "en") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

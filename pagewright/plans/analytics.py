@@ -45,10 +45,11 @@ def top_by(df: DataFrame, group: str, score: Column, key: str, k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def line_windows(lines: DataFrame, key: str, order: list[str], line: str = "line") -> DataFrame:
+def line_windows(lines: DataFrame, key: str, order: list[str], line: str = "line", place: str | None = None) -> DataFrame:
     """Fence parity and the nearest non-blank lines, by window functions over (key, order), linear in the lines of a key.
 
-    Adds fence, inside (in a fence once this line's mark has counted), before and after ('' if none).
+    Adds fence, inside (in a fence once this line's mark has counted), before and after ('' if none); ``place``: and
+    the line's place from 1, by the same window.
     """
     w = Window.partitionBy(key).orderBy(*order)
     text = trim_space(F.col(line))
@@ -57,7 +58,8 @@ def line_windows(lines: DataFrame, key: str, order: list[str], line: str = "line
     quoted = lambda names: ", ".join(f"`{n}`" for n in names)
     near = lambda f: F.coalesce(F.expr(f"{f}(_shown) IGNORE NULLS OVER (PARTITION BY {quoted([key])} ORDER BY {quoted(order)})"), F.lit(""))
     shown = lines.withColumn("_shown", F.when(text != "", text))
-    return shown.withColumns({"fence": is_fence(text), "inside": fences % 2 == 1, "before": near("lag"), "after": near("lead")}).drop("_shown")
+    places = {place: F.row_number().over(w).cast("long")} if place else {}
+    return shown.withColumns({**places, "fence": is_fence(text), "inside": fences % 2 == 1, "before": near("lag"), "after": near("lead")}).drop("_shown")
 
 
 def duplicate_documents(df: DataFrame, key: str = "page_id", markdown: str = "markdown") -> DataFrame:

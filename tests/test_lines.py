@@ -167,3 +167,12 @@ def test_neighbours_of_long_documents(spark):
 def test_line_queries_are_linear(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "window" in plan and "unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("name", ["line_neighbours"])
+def test_line_queries_move_each_line_once(spark, name):
+    """One exchange, one sort and one window; no documents are put together to be cut again."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1 and "Aggregate" not in plan and "Generate" not in plan
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1

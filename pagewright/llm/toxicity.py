@@ -393,9 +393,11 @@ def train_nets(shards: DataFrame, counts: list[tuple[int, int]], n_shards: int,
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from messages({k: (n, d / n, r / np.maximum(touched, 1)[:, None], touched) for k, (n, d, r, touched) in met(batches).items()})
 
-        told = stage(shards.mapInArrow(moves, MOVES), "moves", "uncompressed")
-        while (parts := told.rdd.getNumPartitions()) > MEET:
-            fewer = stage(told.coalesce(-(-parts // MEET)).mapInArrow(lambda batches: messages(met(batches)), MOVES), "moves", "uncompressed")
+        told, files = stage(shards.mapInArrow(moves, MOVES), "moves", "uncompressed"), n_shards
+        # counted by files that were written: a reader may split each into many parts, all but one of them empty
+        while files > MEET:
+            files = -(-files // MEET)
+            fewer = stage(told.coalesce(files).mapInArrow(lambda batches: messages(met(batches)), MOVES), "moves", "uncompressed")
             discard(told)
             told = fewer
         for row in told.coalesce(1).mapInArrow(mean, MOVES).toLocalIterator():

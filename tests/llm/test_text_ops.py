@@ -749,6 +749,41 @@ def test_moves_meet_before_the_driver(spark, monkeypatch):
             assert np.allclose(value, sum(parts))
 
 
+def two_rounds(spark, monkeypatch):
+    """Scores of a model that three shards fitted in two rounds."""
+    draw = random.Random(10)
+    rows = [(i, " ".join(f"w{draw.randrange(200)}" for _ in range(20)) + (" vilest" if i % 4 == 0 else ""), "en") for i in range(90)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    fit = toxicity.train_nets
+    with monkeypatch.context() as patch:
+        patch.setattr(toxicity, "SHARD_ROWS", 30)
+        patch.setattr(toxicity, "train_nets", lambda shards, counts, n: fit(shards, counts, n, epochs=2))
+        model = toxicity.ToxicityModel.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), marks)
+    return model.net.scores([toxicity.hashed(toxicity.WordHashes(), t) for _, t, _ in rows])
+
+
+def test_moves_meet_in_files_that_readers_split(spark, monkeypatch):
+    """Also where a file of moves is read in more parts than a task sums at once, the meeting ends and adds up alike."""
+    want = two_rounds(spark, monkeypatch)
+    write, written = toxicity.stage, []
+
+    def spied(df, label, *args):
+        written.append(label)
+        assert written.count("moves") <= 4, "two rounds of three files, of which two tasks make two"
+        return write(df, label, *args)
+
+    monkeypatch.setattr(toxicity, "stage", spied)
+    monkeypatch.setattr(toxicity, "MEET", 2)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = two_rounds(spark, monkeypatch)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert written.count("moves") == 4 and np.allclose(got, want, atol=1e-3)
+
+
 def test_toxicity_learns_from_long_texts_alone(spark):
     rows = [(i, "w " * 20_001 + "vilest" if i % 2 else f"w{i} fine day", "en") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -39,8 +39,8 @@ CHUNK, MEMO = 1 << 16, 200_000
 GAP = max(WIDTHS) - 1
 #: Rows and words of a shard, on average at most; steps by which scores are counted when thresholds are set.
 SHARD_ROWS, SHARD_WORDS, SCORE_STEPS = 4096, 1 << 21, 1 << 16
-#: Messages of moves that a task sums at once; rows of the tables in a row of a message.
-MEET, BLOCK = 8, 4096
+#: Messages of moves that a task sums at once; rows of the tables in a row of a message; pieces, sent one by one, in which the driver gets a mean.
+MEET, BLOCK, PIECES = 8, 4096, 8
 #: Largest whole numbers of embeddings and filters; their products over the widest filter stay below 2^24.
 EMBED_STEPS, FILTER_STEPS = 511, (1 << 24) // (511 * max(WIDTHS) * TABLES * PART + 1)
 
@@ -366,7 +366,7 @@ def train_nets(shards: DataFrame, counts: list[tuple[int, int]], n_shards: int,
     """Nets that learn from the rows outside half 0, outside half 1, and from all; ``counts``: rows of class 0 and 1 of each.
 
     A net whose rows lack a class stays as drawn. What a task sends is the sum of its shards' moves, at most 10 MB a net.
-    Tasks sum these, MEET at a time, until one has the mean: the driver gets the moves of one net's size, however many shards.
+    Tasks sum these, MEET at a time, until one has the mean: the driver gets moves of one net's size a net, in pieces, however many shards.
     """
     spark = shards.sparkSession
     state = {k: flat(net, Sums.of(net)) for k, net in ((k, ConvNet()) for k in range(len(counts))) if min(counts[k])}
@@ -400,7 +400,8 @@ def train_nets(shards: DataFrame, counts: list[tuple[int, int]], n_shards: int,
             fewer = stage(told.coalesce(files).mapInArrow(lambda batches: messages(met(batches)), MOVES), "moves", "uncompressed")
             discard(told)
             told = fewer
-        for row in told.coalesce(1).mapInArrow(mean, MOVES).toLocalIterator():
+        pieces = told.coalesce(1).mapInArrow(mean, MOVES).select("net", "block", "at", "moved").repartition(PIECES)
+        for row in pieces.toLocalIterator():
             dense, rows = state[row["net"]]
             if row["block"] < 0:
                 dense += np.frombuffer(row["moved"])

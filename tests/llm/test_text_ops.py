@@ -784,6 +784,22 @@ def test_moves_meet_in_files_that_readers_split(spark, monkeypatch):
     assert written.count("moves") == 4 and np.allclose(got, want, atol=1e-3)
 
 
+def test_the_driver_gets_a_mean_in_pieces(spark, monkeypatch):
+    """No task sends the driver much of a mean at once."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sizes, read = [], DataFrame.toLocalIterator
+
+    def spied(df, *args, **kwargs):
+        by = df.groupBy(F.spark_partition_id().alias("piece")).agg(F.sum(F.length("at") + F.length("moved")).alias("size"))
+        sizes.append([r["size"] for r in by.collect()])
+        return read(df, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", spied)
+    two_rounds(spark, monkeypatch)
+    assert len(sizes) == 2 and all(max(told) < sum(told) / 4 for told in sizes)
+
+
 def test_toxicity_learns_from_long_texts_alone(spark):
     rows = [(i, "w " * 20_001 + "vilest" if i % 2 else f"w{i} fine day", "en") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -34,8 +34,8 @@ from pagewright.plans.staging import discard, stage
 
 TABLE, PART, TABLES, WIDTHS, FILTERS, STEM = 1 << 16, 8, 3, (1, 2, 3), 8, 5
 PUNCTUATION = string.punctuation.encode()
-#: Words scored at once, and words whose hashes a worker remembers.
-CHUNK, MEMO = 1 << 16, 200_000
+#: Words of a piece of a text at most, words scored at once (that caches hold), and words whose hashes a worker remembers.
+CHUNK, TOGETHER, MEMO = 1 << 16, 1 << 13, 200_000
 GAP = max(WIDTHS) - 1
 #: Rows and words of a shard, on average at most; steps by which scores are counted when thresholds are set.
 SHARD_ROWS, SHARD_WORDS, SCORE_STEPS = 4096, 1 << 21, 1 << 16
@@ -62,7 +62,7 @@ def hashed(memo: WordHashes, text: str | None) -> np.ndarray:
 @dataclass
 class ConvNet:
     seed: int = 11
-    tables: list[np.ndarray] = field(init=False)
+    tables: np.ndarray = field(init=False)
     filters: list[np.ndarray] = field(init=False)
     bias: np.ndarray = field(init=False)
     weight: np.ndarray = field(init=False)
@@ -72,43 +72,55 @@ class ConvNet:
         draw = np.random.default_rng(self.seed)
         n = FILTERS * len(WIDTHS)
         # the last row of each table stands for the gap between texts and stays zero
-        self.tables = [np.vstack([draw.normal(0, 0.1, (TABLE, PART)), np.zeros((1, PART))]).astype(np.float32) for _ in range(TABLES)]
+        self.tables = np.stack([np.vstack([draw.normal(0, 0.1, (TABLE, PART)), np.zeros((1, PART))]).astype(np.float32) for _ in range(TABLES)])
         self.filters = [draw.normal(0, 0.3 / np.sqrt(w), (w * TABLES * PART, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias, self.weight = np.zeros(n, np.float32), draw.normal(0, 0.3, n).astype(np.float32)
 
     @cached_property
-    def whole(self) -> tuple[list[np.ndarray], float, list[np.ndarray], list[np.ndarray]]:
+    def whole(self) -> tuple[np.ndarray, float, list[np.ndarray], list[np.ndarray]]:
         """(tables and their step, filters and their steps by filter) in whole numbers; made once, after fitting."""
         step = max(float(max(np.abs(t).max() for t in self.tables)), 1e-30) / EMBED_STEPS
         steps = [np.maximum(np.abs(f).max(axis=0), 1e-30).astype(np.float64) / FILTER_STEPS for f in self.filters]
-        return [np.rint(t / step).astype(np.float32) for t in self.tables], step, [np.rint(f / s).astype(np.float32) for f, s in zip(self.filters, steps)], steps
+        return np.rint(self.tables / step).astype(np.float32), step, [np.rint(f / s).astype(np.float32) for f, s in zip(self.filters, steps)], steps
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "whole"}
 
-    def _embed(self, docs: list[np.ndarray], tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Ids in each table and embeddings of the texts in a row with gaps, and where each text begins."""
+    def _embed(self, docs: list[np.ndarray], tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by word of the tables put one after the other, and embeddings of the texts in a row with gaps, and where each text begins."""
         sizes = np.array([len(d) for d in docs]) + GAP + 1
-        starts = np.cumsum(sizes) - sizes
-        ids = [np.full(sizes.sum() + GAP, TABLE, np.int64) for _ in tables]
-        for d, s in zip(docs, starts):
-            for k, own in enumerate(ids):
-                own[s : s + len(d)] = (d >> 16 * k) & TABLE - 1
-        return ids, np.concatenate([t[i] for t, i in zip(tables, ids)], axis=1), starts
+        stops = np.cumsum(sizes)
+        gap = np.zeros(GAP + 1, np.int64)
+        words = np.concatenate([p for d in docs for p in (d, gap)] + [gap[:GAP]])
+        rows = np.stack([words >> 16 * k & TABLE - 1 for k in range(TABLES)], axis=1)
+        rows[(stops[:, None] - np.arange(1, GAP + 2)).ravel()] = TABLE
+        rows[len(rows) - GAP :] = TABLE
+        rows += np.arange(TABLES) * (TABLE + 1)
+        x = np.asarray(tables).reshape(-1, PART).take(rows, axis=0, mode="clip")
+        return rows, x.reshape(len(rows), -1), stops - sizes
 
     @staticmethod
-    def _responses(x: np.ndarray, w: int, kernel: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of each window; those that begin in a gap and could reach the next text respond like a bare gap."""
-        n = len(x) - GAP
-        deep = x.shape[1]
-        out = x[:n] @ kernel[:deep]
-        for k in range(1, w):
-            out += x[k : n + k] @ kernel[k * deep : (k + 1) * deep]
+    def _all_responses(x: np.ndarray, filters: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """Of each filter, by window; those that begin in a gap and could reach the next text respond like a bare gap."""
+        n, deep = len(x) - GAP, x.shape[1]
+        # one product for all filters at all places within a window
+        parts = np.concatenate([f.reshape(-1, deep, FILTERS).transpose(0, 2, 1).reshape(-1, deep) for f in filters]) @ x.T
+        out, at = np.empty((FILTERS * len(filters), n), parts.dtype), 0
+        for k, f in enumerate(filters):
+            own = out[k * FILTERS : (k + 1) * FILTERS]
+            own[...] = parts[at : at + FILTERS, :n]
+            for o in range(1, len(f) // deep):
+                own += parts[at + o * FILTERS : at + (o + 1) * FILTERS, o : n + o]
+            at += len(f) // deep * FILTERS
         stops = np.append(starts[1:], n)
         for k in range(1, GAP + 1):
-            out[stops - k] = 0
+            out[:, stops - k] = 0
         return out
 
+    def _responses(self, x: np.ndarray, w: int, kernel: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of each window of ``w`` words, by filter."""
+        return self._all_responses(x, [kernel], starts).T
+
     def features(self, docs: list[np.ndarray]) -> np.ndarray:
         """Max-pooled responses by text, in double precision; texts longer than a chunk go in overlapping pieces."""
         tables, step, filters, steps = self.whole
@@ -123,15 +135,14 @@ class ConvNet:
         first = 0
         while first < len(pieces):
             last, total = first + 1, len(pieces[first])
-            while last < len(pieces) and total + len(pieces[last]) <= CHUNK:
+            while last < len(pieces) and total + len(pieces[last]) <= TOGETHER:
                 total += len(pieces[last])
                 last += 1
             _, x, starts = self._embed(pieces[first:last], tables)
-            answers = [self._responses(x, w, f, starts) for w, f in zip(WIDTHS, filters)]
+            answers = self._all_responses(x, filters, starts)
             for k in np.flatnonzero(cut[first:last]):  # windows past the cut belong to the next piece
-                for r in answers:
-                    r[starts[k] + CHUNK : starts[k] + len(pieces[first + k])] = 0
-            pooled = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in answers], axis=1)
+                answers[:, starts[k] + CHUNK : starts[k] + len(pieces[first + k])] = 0
+            pooled = np.maximum.reduceat(answers, starts, axis=1).T
             np.maximum.at(out, owner[first:last], np.maximum(pooled * scale + self.bias, 0))
             first = last
         return out
@@ -142,62 +153,58 @@ class ConvNet:
             z += value * weight
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
-    def _pooled(self, docs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """(ids in each table, embeddings; by width: places of the best windows, their responses, whether they begin before the gap)."""
+    def _pooled(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of the tables and embeddings by word; by text and filter: places of the best windows, their responses, whether they begin before the gap)."""
         if len(docs) == 1 and len(docs[0]) > CHUNK:
             return self._pooled_long(docs[0])
-        ids, x, starts = self._embed(docs, self.tables)
-        stops = np.append(starts[1:], len(x) - GAP)
-        best, value = [], []
-        for w, f in zip(WIDTHS, self.filters):
-            r = self._responses(x, w, f, starts)
-            p = np.stack([s + r[s:e].argmax(axis=0) for s, e in zip(starts, stops)])
-            best.append(p)
-            value.append(np.take_along_axis(r, p, axis=0))
-        return ids, x, best, value, [p < (stops - GAP)[:, None] for p in best]
-
-    def _pooled_long(self, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """Of one text in overlapping pieces; ids and embeddings are those of its best windows only."""
+        rows, x, starts = self._embed(docs, self.tables)
+        r = self._all_responses(x, self.filters, starts)
+        stops = np.append(starts[1:], r.shape[1])
+        best = np.stack([s + r[:, s:e].argmax(axis=1) for s, e in zip(starts.tolist(), stops.tolist())])
+        return rows, x, best, r[np.arange(len(r)), best], best < (stops - GAP)[:, None]
+
+    def _pooled_long(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of one text in overlapping pieces; rows and embeddings are those of its best windows only."""
         n = len(doc)
-        best, value = [np.zeros((1, FILTERS), np.int64) for _ in WIDTHS], [np.full((1, FILTERS), -np.inf, self.bias.dtype) for _ in WIDTHS]
+        best, value = np.zeros(len(self.bias), np.int64), np.full(len(self.bias), -np.inf, self.bias.dtype)
         for s in range(0, n, CHUNK):
             _, x, starts = self._embed([doc[s : s + CHUNK + GAP]], self.tables)
-            for k, (w, f) in enumerate(zip(WIDTHS, self.filters)):
-                r = self._responses(x, w, f, starts)
-                r = r[:CHUNK] if s + CHUNK < n else r  # windows past the cut belong to the next piece
-                p = r.argmax(axis=0)[None]
-                told = np.take_along_axis(r, p, axis=0)
-                better = told > value[k]
-                best[k][better], value[k][better] = s + p[better], told[better]
-        need = np.unique(np.concatenate([(p + o).ravel() for w, p in zip(WIDTHS, best) for o in range(w)]))
-        words = doc[np.minimum(need, n - 1)]
-        ids = [np.where(need < n, (words >> 16 * k) & TABLE - 1, TABLE) for k in range(TABLES)]
-        x = np.concatenate([t[i] for t, i in zip(self.tables, ids)], axis=1)
-        return ids, x, [np.searchsorted(need, p) for p in best], value, [p < n + 1 for p in best]
-
-    def gradients(self, docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray) -> tuple[list[np.ndarray], float, list[np.ndarray], np.ndarray]:
-        """Of the mean weighted logistic loss: (filters, bias and weight; offset; ids by table; embeddings at those ids)."""
+            r = self._all_responses(x, self.filters, starts)
+            r = r[:, :CHUNK] if s + CHUNK < n else r  # windows past the cut belong to the next piece
+            p = r.argmax(axis=1)
+            told = r[np.arange(len(r)), p]
+            better = told > value
+            best[better], value[better] = s + p[better], told[better]
+        need = np.unique(best[:, None] + np.arange(GAP + 1))
+        rows = np.stack([np.where(need < n, doc[np.minimum(need, n - 1)] >> 16 * k & TABLE - 1, TABLE) + k * (TABLE + 1) for k in range(TABLES)], axis=1)
+        x = np.asarray(self.tables).reshape(-1, PART).take(rows, axis=0).reshape(len(rows), -1)
+        return rows, x, np.searchsorted(need, best)[None], value[None], (best < n + 1)[None]
+
+    def gradients(self, docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+        """Of the mean weighted logistic loss: (filters, bias and weight; offset; by table, ids of the words that it reaches; embeddings at those ids).
+
+        A word that several best windows hold comes as often.
+        """
         deep = TABLES * PART
-        ids, x, best, value, live = self._pooled(docs)
-        pooled = np.concatenate(value, axis=1) + self.bias
+        rows, x, best, value, live = self._pooled(docs)
+        pooled = value + self.bias
         feats = np.maximum(pooled, 0)
         z = feats @ self.weight + self.offset
         err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * share / len(docs)).astype(x.dtype)
         back = err[:, None] * self.weight * (pooled > 0)
-        grads, dx = [], np.zeros_like(x)
+        # a best window in the gap responds like a bare gap, whatever follows it
+        reach = back * live
+        grads, at, dx = [], [], []
         for k, (w, f) in enumerate(zip(WIDTHS, self.filters)):
-            g, p = back[:, k * FILTERS : (k + 1) * FILTERS], best[k]
-            grad = np.zeros_like(f)
-            for j in range(FILTERS):
-                spans = np.concatenate([x[p[:, j] + o] for o in range(w)], axis=1)
-                # a best window in the gap responds like a bare gap, whatever follows it
-                reach = (g[:, j] * live[k][:, j])[:, None]
-                grad[:, j] = reach[:, 0] @ spans
-                for o in range(w):
-                    np.add.at(dx, p[:, j] + o, reach * f[o * deep : (o + 1) * deep, j])
-            grads.append(grad)
+            own = slice(k * FILTERS, (k + 1) * FILTERS)
+            g, spans = reach[:, own], best[:, own] + np.arange(w)[:, None, None]
+            grads.append(np.einsum("bf,obfd->odf", g, x[spans]).reshape(w * deep, FILTERS))
+            text, kind = np.nonzero(g)
+            at.append(spans[:, text, kind].ravel())
+            dx.append((f.reshape(w, deep, FILTERS).transpose(0, 2, 1)[:, kind] * g[text, kind][:, None]).reshape(-1, deep))
         grads += [back.sum(axis=0), err @ feats]
-        return grads, float(err.sum()), ids, dx
+        ids = rows[np.concatenate(at)] - np.arange(TABLES) * (TABLE + 1)
+        return grads, float(err.sum()), ids.T, np.concatenate(dx)
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05, sums: Sums | None = None, counts: tuple[int, int] | None = None, seed: int | None = None) -> ConvNet:
         """AdaGrad on the logistic loss; classes count alike. Gradients reach a filter's best window of each text.
@@ -208,6 +215,7 @@ class ConvNet:
         none, some = counts or ((labels == 0).sum(), (labels == 1).sum())
         share = np.where(labels == 1, 0.5 / max(1, some), 0.5 / max(1, none)) * (none + some)
         dense, sums = [*self.filters, self.bias, self.weight], sums or Sums.of(self)
+        rows, squares = self.tables.reshape(-1, PART), sums.tables.reshape(-1, 1)
         for _ in range(epochs):
             order = draw.permutation(len(docs))
             for at in range(0, len(order), batch):
@@ -218,26 +226,31 @@ class ConvNet:
                     weigh = len(part) / len(pick)
                     grads = [g * weigh for g in part_grads] if grads is None else [a + g * weigh for a, g in zip(grads, part_grads)]
                     total += part_total * weigh
-                    hit = np.flatnonzero(dx.any(axis=1))
-                    hits.append(([i[hit] for i in ids], dx[hit] * dx.dtype.type(weigh)))
+                    hits.append((ids, dx * dx.dtype.type(weigh)))
                 grads[-1] += 1e-4 * self.weight
                 for value, square, grad in zip(dense, sums.dense, grads):
                     square += grad**2
                     value -= rate * grad / np.sqrt(square)
                 sums.offset += total**2
                 self.offset -= rate * total / sums.offset**0.5
-                moved = np.concatenate([dx for _, dx in hits])
-                for k, (table, square) in enumerate(zip(self.tables, sums.tables)):
-                    rows, where = np.unique(np.concatenate([ids[k] for ids, _ in hits]), return_inverse=True)
-                    g = np.zeros((len(rows), PART), np.float32)
-                    np.add.at(g, where, moved[:, k * PART : (k + 1) * PART])
-                    g[rows == TABLE] = 0
-                    square[rows] += (g**2).mean(axis=1, keepdims=True)
-                    table[rows] -= rate * g / np.sqrt(square[rows])
+                ids = np.concatenate([i for i, _ in hits], axis=1)
+                moved = np.concatenate([dx for _, dx in hits]).reshape(-1, TABLES, PART).transpose(1, 0, 2)
+                learns = ids < TABLE
+                hit, g = summed((ids + np.arange(TABLES)[:, None] * (TABLE + 1))[learns], moved[learns])
+                squares[hit] += (g**2).mean(axis=1, keepdims=True)
+                rows[hit] -= rate * g / np.sqrt(squares[hit])
         self.__dict__.pop("whole", None)
         return self
 
 
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``keys`` in order, and for each the sum of its rows of ``values``."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
+
+
 def in_chunks(pick: np.ndarray, docs: list[np.ndarray]) -> Iterator[np.ndarray]:
     """``pick`` in runs of at most a chunk of words; a longer text comes alone."""
     first, total = 0, 0
@@ -254,31 +267,31 @@ def in_chunks(pick: np.ndarray, docs: list[np.ndarray]) -> Iterator[np.ndarray]:
 class Sums:
     """AdaGrad's sums of squares: of filters, bias and weight; of the rows of each table; of the offset."""
     dense: list[np.ndarray]
-    tables: list[np.ndarray]
+    tables: np.ndarray
     offset: float = 1e-3
 
     @classmethod
     def of(cls, net: ConvNet) -> Sums:
-        return cls([np.full_like(p, 1e-3) for p in (*net.filters, net.bias, net.weight)], [np.full((TABLE + 1, 1), 1e-3, np.float32) for _ in net.tables])
+        return cls([np.full_like(p, 1e-3) for p in (*net.filters, net.bias, net.weight)], np.full((TABLES, TABLE + 1, 1), 1e-3, np.float32))
 
 
 def flat(net: ConvNet, sums: Sums) -> tuple[np.ndarray, np.ndarray]:
     """(all that is not a table, in double precision; the tables' rows one after the other, each with its sum)."""
     dense = [*net.filters, net.bias, net.weight, *sums.dense, np.array([net.offset, sums.offset])]
-    return np.concatenate([p.ravel().astype(np.float64) for p in dense]), np.concatenate([np.hstack(pair) for pair in zip(net.tables, sums.tables)])
+    return np.concatenate([p.ravel().astype(np.float64) for p in dense]), np.concatenate([net.tables, sums.tables], axis=2).reshape(-1, PART + 1)
 
 
 def unflat(dense: np.ndarray, rows: np.ndarray) -> tuple[ConvNet, Sums]:
     net, n = ConvNet.__new__(ConvNet), FILTERS * len(WIDTHS)
     net.seed, net.filters = ConvNet.seed, [np.empty((w * TABLES * PART, FILTERS), np.float32) for w in WIDTHS]
     net.bias, net.weight = np.empty(n, np.float32), np.empty(n, np.float32)
-    sums, at = Sums([np.empty_like(p) for p in (*net.filters, net.bias, net.weight)], []), 0
+    sums, at = Sums([np.empty_like(p) for p in (*net.filters, net.bias, net.weight)], np.empty(0)), 0
     for p in (*net.filters, net.bias, net.weight, *sums.dense):
         p[...] = dense[at : at + p.size].reshape(p.shape)
         at += p.size
     net.offset, sums.offset = float(dense[at]), float(dense[at + 1])
     parts = rows.reshape(TABLES, TABLE + 1, PART + 1)
-    net.tables, sums.tables = [p[:, :PART].astype(np.float32) for p in parts], [p[:, PART:].astype(np.float32) for p in parts]
+    net.tables, sums.tables = parts[..., :PART].astype(np.float32, order="C"), parts[..., PART:].astype(np.float32, order="C")
     return net, sums
 
 

@@ -826,6 +826,29 @@ def test_gradients_of_long_texts(monkeypatch):
     assert [list(p) for p in toxicity.in_chunks(np.array([2, 0, 1, 3]), [np.zeros(n) for n in (4, 5, 6, 30)])] == [[2, 0], [1], [3]]
 
 
+def test_an_epoch_moves_only_words_of_best_windows(monkeypatch):
+    """A batch's gradients come for these words, however long its texts, and move the tables like sums over all its words."""
+    net, docs = fitted_net()
+    docs = [np.tile(d, 40) for d in docs if len(d)][:32]
+    labels, share, most = np.arange(32) % 2, np.ones(32), len(docs) * toxicity.FILTERS * sum(toxicity.WIDTHS)
+    sums, squares = toxicity.Sums.of(net), np.full((toxicity.TABLE + 1, 1), 1e-3)
+    _, _, ids, dx = net.gradients(docs, labels, share)
+    assert 0 < len(dx) == len(ids[0]) <= most < sum(map(len, docs))
+    before = [t.astype(float) for t in net.tables]
+    net.fit(docs, labels, 1, sums=sums)
+    for k, (t, moved) in enumerate(zip(before, net.tables)):
+        g = np.zeros_like(t)
+        np.add.at(g, ids[k], dx[:, k * toxicity.PART : (k + 1) * toxicity.PART])
+        g[toxicity.TABLE] = 0
+        total = squares + (g**2).mean(axis=1, keepdims=True)
+        assert np.allclose(sums.tables[k], total, rtol=1e-3) and np.allclose(moved, t - 0.05 * g / np.sqrt(total), atol=1e-4)
+    # texts are scored together as far as caches hold them
+    together, embed = [], toxicity.ConvNet._embed
+    monkeypatch.setattr(toxicity.ConvNet, "_embed", lambda self, part, tables: together.append(sum(map(len, part))) or embed(self, part, tables))
+    net.scores(docs * 4)
+    assert sum(together) == 4 * sum(map(len, docs)) and max(together) <= toxicity.TOGETHER
+
+
 def test_toxicity_of_an_empty_table(spark):
     model = toxicity.ToxicityModel(toxicity.ConvNet(), {})
     none = spark.createDataFrame([], "doc_id long, text string, lang string")

@@ -19,7 +19,7 @@ text's score depends neither on the texts it is scored with nor on the machine's
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -36,6 +36,8 @@ TABLE, PART, TABLES, WIDTHS, FILTERS, STEM = 1 << 16, 8, 3, (1, 2, 3), 8, 5
 PUNCTUATION = string.punctuation.encode()
 #: Words of a piece of a text at most, words scored at once (that caches hold), and words whose hashes a worker remembers.
 CHUNK, TOGETHER, MEMO = 1 << 16, 1 << 13, 200_000
+#: Bytes of texts hashed at once, and of a text hashed at once at most.
+HASHED, LONG = 1 << 16, 1 << 20
 GAP = max(WIDTHS) - 1
 #: Rows and words of a shard, on average at most; steps by which scores are counted when thresholds are set.
 SHARD_ROWS, SHARD_WORDS, SCORE_STEPS = 4096, 1 << 21, 1 << 16
@@ -59,6 +61,72 @@ def hashed(memo: WordHashes, text: str | None) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
 
+def hashed_all(memo: WordHashes, texts: Iterable[str | None]) -> list[np.ndarray]:
+    """``hashed`` of each text; words of texts that are not long are hashed together."""
+    out, run, size = [], [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if run and (size + len(raw) > HASHED or len(raw) > LONG):
+            out += _hashed_run(memo, run)
+            run, size = [], 0
+        if len(raw) > LONG:
+            out.append(hashed(memo, text))
+        else:
+            run.append(raw)
+            size += len(raw)
+    return out + _hashed_run(memo, run) if run else out
+
+
+def _between(letters: np.ndarray) -> np.ndarray:
+    return (letters == 32) | (letters - np.uint8(9) < 5)
+
+
+def _points(letters: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce([letters - np.uint8(a) < n for a, n in ((33, 15), (58, 7), (91, 6), (123, 4))])
+
+
+def _hashed_run(memo: WordHashes, run: list[bytes]) -> list[np.ndarray]:
+    """Of texts put one after the other; words of 16 bytes and more are hashed one by one."""
+    raw = b" ".join([b"", *run, b"   "]).lower()
+    letters = np.frombuffer(raw, np.uint8)
+    between = _between(letters)
+    edges = np.flatnonzero(between[1:] != between[:-1]) + 1
+    starts, stops = edges[::2].copy(), edges[1::2].copy()
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in run])[:-1])
+    points = _points(letters)
+    pointed = np.flatnonzero(points[starts] | points[stops - 1])
+    if len(pointed):
+        bare = np.flatnonzero(~(points | between))
+        bounds = np.concatenate([[-1], bare, [len(raw)]])  # position of bare letter i is at i + 1
+        left = bounds[np.searchsorted(bare, starts[pointed]) + 1]
+        right = bounds[np.searchsorted(bare, stops[pointed])] + 1
+        some = left < stops[pointed]  # words of nothing else keep their punctuation
+        starts[pointed[some]], stops[pointed[some]] = left[some], right[some]
+    sizes = stops - starts
+    fours = np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,)).astype(np.uint32)
+    found = short_xxh32(fours, starts, np.minimum(sizes, STEM), 8).astype(np.int64) << 32 & (TABLE - 1) << 32
+    found |= short_xxh32(fours, starts, np.minimum(sizes, 15), 7)
+    for k in np.flatnonzero(sizes > 15).tolist():
+        found[k] = memo[raw[starts[k] : stops[k]]]
+    return np.split(found, ends)
+
+
+def short_xxh32(fours: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """XXH32 of runs of fewer than 16 bytes; ``fours``: at each byte, this and the next three as a number, lowest first."""
+    one, two, three, four, five = map(np.uint32, (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    h = (sizes + (seed + int(five))).astype(np.uint32)
+    for k in range(3):
+        g = h + fours.take(starts + 4 * k, mode="clip") * three
+        h = np.where(sizes >= 4 * k + 4, (g << 17 | g >> 15) * four, h)
+    tails, rest = starts + (sizes & ~3), sizes & 3
+    for k in range(3):
+        g = h + (fours.take(tails + k, mode="clip") & 255) * five
+        h = np.where(rest > k, (g << 11 | g >> 21) * one, h)
+    h = (h ^ h >> 15) * two
+    h = (h ^ h >> 13) * three
+    return h ^ h >> 16
+
+
 @dataclass
 class ConvNet:
     seed: int = 11
@@ -314,7 +382,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [hashed(memo, t.as_py()) for t in part.column("text")]
+                ids = hashed_all(memo, (t.as_py() for t in part.column("text")))
                 told = [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], *told], ["deal", "half", "toxic", "lang", "words", "ids"])
 
@@ -512,7 +580,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                scores = known.net.scores([hashed(memo, t.as_py()) for t in part.column("text")])
+                scores = known.net.scores(hashed_all(memo, (t.as_py() for t in part.column("text"))))
                 lines = np.array([known.thresholds.get(x or "", 0.5) for x in part.column("lang").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(scores >= lines)], ["doc_id", "score", "predicted", "flagged"])
 
@@ -530,7 +598,7 @@ def drop_flagged(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                scores = known.net.scores([hashed(memo, t.as_py()) for t in part.column("text")])
+                scores = known.net.scores(hashed_all(memo, (t.as_py() for t in part.column("text"))))
                 lines = np.array([known.thresholds.get(x or "", 0.5) for x in part.column("lang").to_pylist()])
                 yield part.filter(pa.array(~(scores >= lines)))
 

@@ -826,6 +826,24 @@ def test_gradients_of_long_texts(monkeypatch):
     assert [list(p) for p in toxicity.in_chunks(np.array([2, 0, 1, 3]), [np.zeros(n) for n in (4, 5, 6, 30)])] == [[2, 0], [1], [3]]
 
 
+def test_words_hashed_together_have_the_hashes_of_each(monkeypatch):
+    draw = random.Random(12)
+    signs = list("aB z.,-!_\t\n\x0b\x0c\r\x1c\x00\x85\xa0\u2003éÉß中😀'\"~{")
+    texts = [None, "", "  ", "...", ".a.", "--- x---y ---", "\x7f/:@[`{", *["q" * k for k in range(20)], "a\ud800b c", "y " * 70_000]
+    texts += ["".join(draw.choice(signs) for _ in range(draw.randrange(80))) for _ in range(400)]
+    want, alone = [toxicity.hashed(toxicity.WordHashes(), t) for t in texts], []
+    monkeypatch.setattr(toxicity.WordHashes, "__missing__", lambda self, word, one=toxicity.WordHashes.__missing__: alone.append(word) or one(self, word))
+    for size, long in ((toxicity.HASHED, toxicity.LONG), (100, 1000), (40, 40), (1, 1)):
+        monkeypatch.setattr(toxicity, "HASHED", size)
+        monkeypatch.setattr(toxicity, "LONG", long)
+        alone.clear()
+        for start in (0, 5):
+            found = toxicity.hashed_all(toxicity.WordHashes(), texts[start:])
+            assert len(found) == len(texts) - start and all(np.array_equal(a, b) for a, b in zip(found, want[start:]))
+        assert long < 1 << 20 or min(map(len, alone)) > 15  # no short word goes alone
+    assert toxicity.hashed_all(toxicity.WordHashes(), []) == []
+
+
 def test_an_epoch_moves_only_words_of_best_windows(monkeypatch):
     """A batch's gradients come for these words, however long its texts, and move the tables like sums over all its words."""
     net, docs = fitted_net()
